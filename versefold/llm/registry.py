@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import decontamination, line_dedup, mixing
 
 
 def queries() -> dict:
-    return {"op7_line_dedup": line_dedup.op7_line_dedup}
+    return {
+        "op6_decontamination": decontamination.op6_decontamination,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op10_mixing": mixing.op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.SQL}
+    return {"op6_decontamination": decontamination.SQL, "op7_line_dedup": line_dedup.SQL}
