@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing
+from . import decontamination, line_dedup, matroska, mixing
 
 
 def queries() -> dict:
     return {
+        "op4_matroska": matroska.op4_matroska,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op10_mixing": mixing.op10_mixing,
