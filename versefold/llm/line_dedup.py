@@ -2,8 +2,9 @@
 
 Two passes over the texts. The first makes of each document its distinct long line keys, as 128-bit hashes, and
 counts documents by hash (partial sums before each shuffle, so a line that a third of the documents share is one row
-for each task). The second takes the hashes that are over the threshold back to the documents that hold them; the
-join is between exchanges of its own, which adaptive execution splits where a key is hot.
+for each task). The second takes the hashes that are over the threshold, a written table, back to the documents that
+hold them; both sides of that join are exchanges of its own, which adaptive execution splits where a key is hot, or
+broadcasts where the table has turned out small.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import long_field, map_batches, string_field, table
+from .common import long_field, map_batches, shared_checkpoint, string_field, table
 
 #: What is stripped at both ends of a line.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -62,7 +63,8 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docu
     """
     keys = line_keys(docs, min_chars, doc_id, text)
     common = keys.groupBy("_a", "_b").agg(F.count_distinct("_doc").alias("_n"), F.max("_doc").alias("_last")).where(F.col("_n") >= min_documents)
-    gone = keys.join(common.select("_a", "_b", "_last"), ["_a", "_b"]).where(F.col("_doc") < F.col("_last"))
+    common = shared_checkpoint(common.select("_a", "_b", "_last"))
+    gone = keys.join(common, ["_a", "_b"]).where(F.col("_doc") < F.col("_last"))
     gone = gone.groupBy("_doc").agg(F.collect_set(F.struct("_a", "_b")).alias("_gone"))
     names = docs.columns
     joined = docs.join(gone, docs[doc_id] == gone["_doc"], "left").select(*[docs[c] for c in names], "_gone")
