@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, matroska, mixing, suffix_dedup
+from . import decontamination, jaccard_join, line_dedup, matroska, mixing, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op4_matroska": matroska.op4_matroska,
         "op6_decontamination": decontamination.op6_decontamination,

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Spans, long_field, map_batches, mix, shared_checkpoint, slices, table, utf8
+from .common import Spans, long_field, map_batches, mix, named_again, slices, table, utf8, with_ids
 
 LENGTH, KMER, CHUNK = 100, 32, 2 << 20
 #: Every so manieth document is in the sample, in which a minimizer is hot from this share of documents; so many at most are told to the tasks.
@@ -302,17 +302,6 @@ def hash_of(b: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b) - (1 << 63)
 
 
-def _with_ids(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (_id, _text) with unique ids in document order, and, where doc_id is not unique, the ids of (doc_id, text)."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    plain = slim.groupBy("_id").count().where("_id is null or count > 1").isEmpty()
-    if plain:
-        return slim.where("_id is not null"), None  # as joins ask for: so all uses of the texts share one exchange
-    pairs = slim.distinct().repartitionByRange("_id", "_text").sortWithinPartitions("_id", "_text").withColumn("_new", F.monotonically_increasing_id())
-    pairs = shared_checkpoint(pairs)
-    return pairs.select(F.col("_new").alias("_id"), "_text"), pairs
-
-
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, kmer: int = KMER, chunk: int = CHUNK, hot_share: float = HOT_SHARE, large: int = LARGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary: what is left of the text's UTF-8).
 
@@ -321,7 +310,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, kmer: int = KMER, c
     the order of their texts; rows that repeat both are one document and get equal results; a null doc_id comes first.
     Columns of these names are replaced; others pass through.
     """
-    slim, pairs = _with_ids(docs, doc_id, text)
+    slim, pairs = with_ids(docs, doc_id, text)
     rows = _candidates(slim, length, kmer, _hot(slim, length, kmer, hot_share))
     by = Window.partitionBy("k").orderBy("c", "doc", "a")
     whole = Window.partitionBy("k").orderBy("c", "doc", "a").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -359,14 +348,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, kmer: int = KMER, c
         return {"n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(gone), "n_spans": pa.array(size.astype(np.int64)), "kept": pa.array(texts, pa.binary())}
 
     made = map_batches(both, fn, fields).select("_id", "_text", *[f.name for f in fields])
-    keep = [c for c in docs.columns if c not in {f.name for f in fields}]
-    if pairs is None:
-        if set(keep) <= {doc_id, text}:
-            return made.select(*[F.col("_id").cast(docs.schema[c].dataType).alias(c) if c == doc_id else F.col("_text").alias(c) for c in keep], *[f.name for f in fields])
-        return docs.select(*keep, F.col(doc_id).cast("long").alias("_of")).join(made.drop("_text"), F.col("_of") == F.col("_id")).drop("_of", "_id")
-    named = pairs.withColumnsRenamed({"_id": "_doc", "_text": "_t"}).join(made.drop("_text"), F.col("_new") == F.col("_id")).drop("_new", "_id")
-    left = docs.select(*keep, F.col(doc_id).cast("long").alias("_of"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    return left.join(named, F.col("_of").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_t"))).drop("_of", "_text", "_doc", "_t")
+    return named_again(docs.drop(*[f.name for f in fields]), made, pairs, doc_id, text)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
