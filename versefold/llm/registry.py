@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, line_dedup, matroska, mixing, suffix_dedup
+from . import decontamination, jaccard_join, line_dedup, matroska, mixing, quality, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op5_quality": quality.op5_quality,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op4_matroska": matroska.op4_matroska,
