@@ -1,6 +1,6 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-One vector of weights over hashed byte trigrams gives each text a place on a line; ordered thresholds on that line give
+One vector of weights over hashed byte trigrams and word shapes (repetition of the word before, or length) gives each text a place on a line; ordered thresholds on that line give
 the probabilities of the grades, P(grade <= k) = logistic(threshold k - place). Selection goes by the expected grade
 or by the probability of a grade or more.
 """
@@ -15,11 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, slices, table, utf8
+from .common import map_batches, slices, table, utf8, words
 from .toxicity import held_out
 
 #: The training sample: so many documents of each grade at most, the first by a hash of the id.
 MOST, BITS, STEPS, RATE, RIDGE = 2000, 18, 120, 0.3, 1e-4
+#: Places for words by length and repetition; so many trigrams (a fifth as many words) of no weight are added to each text.
+SHAPES, FEW = 32, 100
+#: Added to each feature's spread before it is scaled, so that rare trigrams, which a repetitive text is full of, don't outweigh all.
+DAMP = 6e-2
 
 
 def places(data: np.ndarray) -> np.ndarray:
@@ -29,15 +33,27 @@ def places(data: np.ndarray) -> np.ndarray:
     return (code >> np.uint32(32 - BITS)).astype(np.int64)
 
 
+def shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word, a place beyond the trigrams': one for all that repeat the word before, else by its length; and n + 1 word offsets."""
+    starts, ends, hashes, row = words(data, offsets)
+    again = np.zeros(len(hashes), np.int64)
+    again[1:] = hashes[1:] == hashes[:-1]
+    inner = row[:-1][row[:-1] < len(hashes)]
+    again[inner] = 0
+    return (1 << BITS) + np.where(again, 0, np.minimum(ends - starts, SHAPES - 1)), row
+
+
 def averages(values: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each text the mean value of its trigrams; 0 where it has none."""
+    """For each text the mean value of its trigrams and that of its words, drawn to 0 where there are few."""
     total = np.zeros(max(len(data) - 1, 1))
     if len(data) > 2:
         np.cumsum(values[places(data)], out=total[1:])
     n = np.maximum(np.diff(offsets) - 2, 0)
     lo = np.minimum(offsets[:-1], len(total) - 1)
     hi = np.where(n > 0, np.minimum(offsets[:-1] + n, len(total) - 1), lo)
-    return (total[hi] - total[lo]) / np.maximum(n, 1)
+    shape, row = shapes(data, offsets)
+    by_word = np.r_[0.0, np.cumsum(values[shape])]
+    return (total[hi] - total[lo]) / (n + FEW) + (by_word[row[1:]] - by_word[row[:-1]]) / (np.diff(row) + FEW // 5)
 
 
 @dataclass
@@ -55,20 +71,21 @@ def train(texts: list[str], grades: list[int], n_grades: int) -> Model:
     """Fit weights and thresholds by gradient steps on the likelihood; grades are weighted to equal shares."""
     if len(set(grades)) < 2:
         top = max(grades, default=n_grades - 1)
-        return Model(np.zeros(1 << BITS), np.array([-5.0 if k < top else 5.0 for k in range(n_grades - 1)]))
+        return Model(np.zeros((1 << BITS) + SHAPES), np.array([-5.0 if k < top else 5.0 for k in range(n_grades - 1)]))
     index, value, row = [], [], []
     for i, t in enumerate(texts):
-        p = places(np.frombuffer(t.encode(), np.uint8)) if len(t.encode()) > 2 else np.zeros(0, np.int64)
-        k, c = np.unique(p, return_counts=True)
-        index.append(k)
-        value.append(c / max(len(p), 1))
-        row.append(np.full(len(k), i))
+        data = np.frombuffer(t.encode(), np.uint8)
+        for p, few in ((places(data) if len(data) > 2 else np.zeros(0, np.int64), FEW), (shapes(data, np.array([0, len(data)]))[0], FEW // 5)):
+            k, c = np.unique(p, return_counts=True)
+            index.append(k)
+            value.append(c / (len(p) + few))
+            row.append(np.full(len(k), i))
     index, value, row = (np.concatenate(x) for x in (index, value, row))
     used, column = np.unique(index, return_inverse=True)
     y = np.array(grades)
     share = np.bincount(y, minlength=n_grades)
     weight = (1 / np.maximum(share, 1))[y] / (share > 0).sum()
-    spread = np.sqrt(np.bincount(column, weights=value * value, minlength=len(used)) / len(texts)) + 1e-4
+    spread = np.sqrt(np.bincount(column, weights=value * value, minlength=len(used)) / len(texts)) + DAMP
     value = value / spread[column]
     w, cuts = np.zeros(len(used)), np.array([0.0, *[1.0] * (n_grades - 2)])  # the first threshold, then gaps
     mw, mc, vw, vc = np.zeros_like(w), np.zeros_like(cuts), np.zeros_like(w), np.zeros_like(cuts)
@@ -86,12 +103,12 @@ def train(texts: list[str], grades: list[int], n_grades: int) -> Model:
         d_at = d_edge[1:-1]
         d_cuts = np.array([d_at[k:].sum() for k in range(len(cuts))])
         d_w = np.bincount(column, weights=value * d_place[row], minlength=len(used)) + RIDGE * w
-        for x, m, v, d, rate in ((w, mw, vw, d_w, 0.02), (cuts, mc, vc, d_cuts, RATE / 3)):
+        for x, m, v, d, rate in ((w, mw, vw, d_w, RATE / 6), (cuts, mc, vc, d_cuts, RATE / 3)):
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         cuts[1:] = np.maximum(cuts[1:], 1e-3)
-    weights = np.zeros(1 << BITS)
+    weights = np.zeros((1 << BITS) + SHAPES)
     weights[used] = w / spread
     return Model(weights, np.cumsum(cuts))
 
@@ -122,7 +139,7 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int = N_GRADES, most: int
 def rate(docs: DataFrame, model: Model, least: int = 1, keep_from: float = 0.5, text: str = "text") -> DataFrame:
     """docs with expected_grade, tail_probability (of grade `least` or more), grade (the likeliest) and keep (tail_probability >= keep_from).
 
-    Null, empty and very short texts are placed at 0 on the line, as average ones. Columns of these names are replaced.
+    Null and empty texts are placed at 0 on the line, and short ones near it. Columns of these names are replaced.
     """
 
     def fn(batch: pa.RecordBatch) -> dict:
