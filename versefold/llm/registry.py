@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, line_dedup, matroska, mixing, quality, suffix_dedup, toxicity
+from . import decontamination, jaccard_join, line_dedup, matroska, mixing, pii, quality, secrets, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op8_pii": pii.op8_pii,
+        "op9_secrets": secrets.op9_secrets,
         "op2_toxicity": toxicity.op2_toxicity,
         "op5_quality": quality.op5_quality,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
