@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import map_batches, table
 
 #: The training sample: so many labelled documents of each class at most, the first by a hash of the id.
-MOST_TOXIC, MOST_CLEAN = 3000, 6000
+MOST_TOXIC, MOST_CLEAN = 1500, 3000
 LANDMARKS, ORDER, DECAY, FLOOR, GATE = 64, 3, 0.6, 0.45, 0.75
 WIDTH, SLACK = 24, 2
 THRESHOLD = 0.3
@@ -63,19 +63,21 @@ def _codes(words: list[str], width: int) -> np.ndarray:
 
 def subsequence_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """The gap-weighted kernel of each row of s (0 beyond its end) with the same row of t, or with t."""
-    t = np.broadcast_to(t, (len(s), t.shape[-1]))
-    n, a, b = len(s), s.shape[1], t.shape[1]
-    same = (s[:, :, None] == t[:, None, :]) & (s[:, :, None] > 0)
-    prefix = np.ones((n, a + 1, b + 1))
+    n, a, b = len(s), s.shape[1], t.shape[-1]
+    t = np.broadcast_to(t, (n, b))
+    same = np.ascontiguousarray(((s[:, :, None] == t[:, None, :]) & (s[:, :, None] > 0)).transpose(1, 2, 0)).astype(np.float32)
+    decay = np.float32(decay)
+    same *= decay * decay
+    prefix = np.ones((a + 1, b + 1, n), np.float32)
     for _ in range(order - 1):
-        after = np.zeros((n, a + 1, b + 1))
+        after = np.zeros((a + 1, b + 1, n), np.float32)
         for i in range(a):
-            row = np.zeros(n)
+            row = np.zeros(n, np.float32)
             for j in range(b):
-                row = decay * row + same[:, i, j] * decay * decay * prefix[:, i, j]
-                after[:, i + 1, j + 1] = decay * after[:, i, j + 1] + row
+                row = decay * row + same[i, j] * prefix[i, j]
+                after[i + 1, j + 1] = decay * after[i, j + 1] + row
         prefix = after
-    return (same * prefix[:, :-1, :-1]).sum((1, 2)) * decay * decay
+    return (same * prefix[:-1, :-1]).sum((0, 1)).astype(np.float64)
 
 
 @dataclass
@@ -97,24 +99,36 @@ class Model:
                 owner.append(k)
         codes, owner = _codes(pieces, WIDTH), np.array(owner, np.int64)
         letters = sorted({c for x in self.landmarks for c in x})
-        counts = {c: (codes == ord(c)).sum(1, dtype=np.int8) for c in letters}
         length = (codes > 0).sum(1)
+        upto = {}
+        for c in letters:
+            upto[c] = np.zeros((len(codes), WIDTH + 1), np.int8)
+            np.cumsum(codes == ord(c), axis=1, dtype=np.int8, out=upto[c][:, 1:])
         out: dict[int, np.ndarray] = {}
         for j, mark in enumerate(self.landmarks):
-            need = Counter(mark)
-            shared = sum(np.minimum(counts[c], n) for c, n in need.items())
-            rows = np.flatnonzero(shared >= math.ceil(GATE * len(mark)))
+            need = Counter(mark.strip("^$"))
+            least = math.ceil(GATE * sum(need.values()))
+            rows = np.flatnonzero(sum(np.minimum(upto[c][:, -1], n) for c, n in need.items()) >= least)
             width = len(mark) + SLACK
             goal = _codes([mark], len(mark))[0]
             own = subsequence_kernel(goal[None], goal)[0]
+            # A window's kernel with itself is least where all its letters differ; that bounds the quotient cheaply.
+            floor = [subsequence_kernel(np.arange(1, n + 1, dtype=np.uint32)[None], np.arange(1, n + 1, dtype=np.uint32))[0] for n in range(3, width + 1)]
+            held = {c: upto[c][rows] for c in need}
             best = np.zeros(len(rows))
-            for lo in range(WIDTH):
-                live = np.flatnonzero((lo == 0) | (length[rows] > lo + width - 1))
-                if not len(live) or lo + 3 > WIDTH:
-                    break
-                s = codes[rows[live], lo : lo + width]
-                norm = np.sqrt(np.maximum(subsequence_kernel(s, s), 1e-12) * own)
-                best[live] = np.maximum(best[live], subsequence_kernel(s, goal) / norm)
+            for lo in range(WIDTH - 2):
+                hi = min(lo + width, WIDTH)
+                live = (lo == 0) | (length[rows] > lo + width - 1)
+                live = np.flatnonzero(live & (sum(np.minimum(held[c][:, hi] - held[c][:, lo], n) for c, n in need.items()) >= least))
+                if not len(live):
+                    continue
+                s = codes[rows[live], lo:hi]
+                k = subsequence_kernel(s, goal)
+                size = np.clip((s > 0).sum(1), 3, width)
+                may = np.flatnonzero(k > FLOOR * np.sqrt(np.array(floor)[size - 3] * own) * 0.999)
+                live, s, k = live[may], s[may], k[may]
+                if len(live):
+                    best[live] = np.maximum(best[live], k / np.sqrt(np.maximum(subsequence_kernel(s, s), 1e-12) * own))
             for r, k in zip(rows[best > FLOOR].tolist(), best[best > FLOOR].tolist(), strict=True):
                 v = out.setdefault(int(owner[r]), np.zeros(len(self.landmarks)))
                 v[j] = max(v[j], (k - FLOOR) / (1 - FLOOR))
@@ -165,13 +179,18 @@ def _spread(texts: list[str], toxic: list[int]) -> list[int]:
 def find_landmarks(texts: list[str], toxic: list[int], most: int = LANDMARKS) -> list[str]:
     """Words and word beginnings that go with toxic documents far more than chance has it."""
     counts = (Counter(), Counter())
-    for t, y in zip(texts, toxic, strict=True):
-        found = set()
-        for w in {term(x) for x in tokens(t)}:
-            if 3 <= len(w) <= WIDTH - 2:
-                found.add(f"^{w}$")
-                found.update(f"^{w[:n]}" for n in range(4, min(len(w), 9)))
-        counts[y].update(found)
+    for label in (1, 0):
+        for t, y in zip(texts, toxic, strict=True):
+            if y != label:
+                continue
+            found = set()
+            for w in {term(x) for x in tokens(t)}:
+                if 3 <= len(w) <= WIDTH - 2:
+                    found.add(f"^{w}$")
+                    found.update(f"^{w[:n]}" for n in range(4, min(len(w), 9)))
+            counts[y].update(found if label else found & counts[1].keys())
+        for f in [f for f, a in counts[1].items() if a < 3]:
+            del counts[1][f]
     n, p = len(texts), sum(toxic)
     if not p or p == n:
         return []
