@@ -359,7 +359,7 @@ def _sets(members: DataFrame, width: int) -> DataFrame:
 
 
 def join_near(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, branch: float = BRANCH, small: int = SMALL, block: int = BLOCK, hot_share: float = HOT_SHARE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with class_id and n_links.
+    """docs with class_id, n_links and is_first (whether a row's document is the one whose doc_id is its class's).
 
     Documents are linked whose sets of `width`-word shingles (words after lower-casing A-Z, as in decontamination) have
     a Jaccard similarity of `threshold` or more. n_links counts the other documents that one is linked with; class_id is
@@ -400,14 +400,20 @@ def join_near(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHO
     made = named.join(nodes, "rep").select(F.col("copy").alias("_id"), "class_id", "n_links")
     empty = signed.where("n = 0").select(F.col("id").alias("_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     made = made.unionByName(empty)
+    made = made.withColumn("is_first", F.col("_id") == F.col("class_id"))
     if pairs is not None:
         at = pairs.select(F.col("_new").alias("_c"), F.col("_id").alias("_least"))
-        made = made.join(at, F.col("class_id") == F.col("_c")).select("_id", F.col("_least").alias("class_id"), "n_links")
-    elif set(docs.columns) <= {doc_id, "class_id", "n_links"}:
-        return made.select(F.col("_id").cast(docs.schema[doc_id].dataType).alias(doc_id), "class_id", "n_links")
-    return named_again(docs.drop("class_id", "n_links"), made, pairs, doc_id, text)
+        made = made.join(at, F.col("class_id") == F.col("_c")).select("_id", F.col("_least").alias("class_id"), "n_links", "is_first")
+    return named_again(docs.drop("class_id", "n_links", "is_first"), made, pairs, doc_id, text)
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how: object) -> DataFrame:
+    """docs with one document of each class, that of the least doc_id; of rows that repeat doc_id and text, one."""
+    kept = join_near(docs, doc_id=doc_id, text=text, **how).where("is_first").select(*docs.columns)
+    plain = docs.groupBy(doc_id).count().where(F.col(doc_id).isNull() | (F.col("count") > 1)).isEmpty()
+    return kept if plain else kept.dropDuplicates([doc_id, text])
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return join_near(docs).drop("text")
+    return join_near(docs).select("doc_id", "class_id", "n_links")
