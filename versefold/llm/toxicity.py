@@ -14,7 +14,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,8 +88,14 @@ class Model:
     slope: float
     shift: float
 
-    def features(self, terms: list[str]) -> dict[str, np.ndarray]:
+    def features(self, terms: list[str], block: int = 30_000) -> dict[str, np.ndarray]:
         """Kernels with the landmarks of those terms that have any above FLOOR (as FLOOR to 1 stretched to 0 to 1)."""
+        found: dict[str, np.ndarray] = {}
+        for lo in range(0, len(terms), block):
+            found |= self._features(terms[lo : lo + block])
+        return found
+
+    def _features(self, terms: list[str]) -> dict[str, np.ndarray]:
         pieces, owner = [], []
         for k, t in enumerate(terms):
             t = f"^{t}$"
@@ -155,8 +160,17 @@ class Model:
     def margin(self, rows: np.ndarray) -> np.ndarray:
         return rows @ self.whiten @ self.weights + self.bias
 
-    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
-        low = [(t or "").lower() for t in texts]
+    def scores(self, texts: list[str | None], block: int = 6_000_000) -> np.ndarray:
+        """Scores of texts, some MB of them at a time."""
+        out, lo, size = [np.zeros(0)], 0, 0
+        for k, t in enumerate(texts):
+            size += len(t or "")
+            if size > block or k + 1 == len(texts):
+                out.append(self._scores([(t or "").lower() for t in texts[lo : k + 1]]))
+                lo, size = k + 1, 0
+        return np.concatenate(out)
+
+    def _scores(self, low: list[str]) -> np.ndarray:
         known = self.known(low)
         top = np.array([max([self.bias, *self.margin(self.instances(t, known))]) for t in low])
         return 1 / (1 + np.exp(-np.clip(self.slope * top + self.shift, -40, 40)))
@@ -284,7 +298,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score (0 to 1; null and empty texts get the score of a text without insults) and predicted (score >= 0.3). Columns of these names are replaced."""
 
     def fn(batch: pa.RecordBatch) -> dict:
-        s = model.scores(batch.column(text).to_pylist()) if len(batch) else np.zeros(0)
+        s = model.scores(batch.column(text).to_pylist())
         return {"score": pa.array(s.astype(np.float64)), "predicted": pa.array((s >= THRESHOLD).astype(np.int32))}
 
     return map_batches(docs, fn, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
