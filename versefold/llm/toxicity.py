@@ -29,6 +29,8 @@ from .common import map_batches, table
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
 LANDMARKS, ORDER, DECAY, FLOOR, GATE = 64, 3, 0.6, 0.45, 0.75
 WIDTH, SLACK = 24, 2
+#: Toxic documents of the sample that a landmark must be in.
+LEAST = 3
 THRESHOLD = 0.3
 
 # Signs read as letters within a word.
@@ -160,7 +162,7 @@ class Model:
     def margin(self, rows: np.ndarray) -> np.ndarray:
         return rows @ self.whiten @ self.weights + self.bias
 
-    def scores(self, texts: list[str | None], block: int = 6_000_000) -> np.ndarray:
+    def scores(self, texts: list[str | None], block: int = 4_000_000) -> np.ndarray:
         """Scores of texts, some MB of them at a time."""
         out, lo, size = [np.zeros(0)], 0, 0
         for k, t in enumerate(texts):
@@ -193,7 +195,8 @@ def _spread(texts: list[str], toxic: list[int]) -> list[int]:
 def find_landmarks(texts: list[str], toxic: list[int], most: int = LANDMARKS) -> list[str]:
     """Words and word beginnings that go with toxic documents far more than chance has it."""
     counts = (Counter(), Counter())
-    for label in (1, 0):
+    seen = np.zeros(1 << 22, np.uint8)  # an upper bound of each fragment's count, by its hash: most occur once, and aren't kept
+    for label, final in ((1, False), (1, True), (0, True)):
         for t, y in zip(texts, toxic, strict=True):
             if y != label:
                 continue
@@ -202,9 +205,11 @@ def find_landmarks(texts: list[str], toxic: list[int], most: int = LANDMARKS) ->
                 if 3 <= len(w) <= WIDTH - 2:
                     found.add(f"^{w}$")
                     found.update(f"^{w[:n]}" for n in range(4, min(len(w), 9)))
-            counts[y].update(found if label else found & counts[1].keys())
-        for f in [f for f, a in counts[1].items() if a < 3]:
-            del counts[1][f]
+            if not final:
+                places = np.unique(np.fromiter((hash(f) & 0x3FFFFF for f in found), np.int64, len(found)))
+                seen[places] = np.minimum(seen[places], 250) + 1
+            else:
+                counts[y].update(f for f in found if (seen[hash(f) & 0x3FFFFF] >= LEAST if label else f in counts[1]))
     n, p = len(texts), sum(toxic)
     if not p or p == n:
         return []
@@ -213,7 +218,7 @@ def find_landmarks(texts: list[str], toxic: list[int], most: int = LANDMARKS) ->
     for f, a in counts[1].items():
         b = counts[0][f]
         share = a / (a + b)
-        if a >= 3 and share > max(0.5, 2 * rate):
+        if a >= LEAST and share > max(0.5, 2 * rate):
             gain = a * math.log(share / rate) + (b * math.log((1 - share) / (1 - rate)) if b else 0)
             if gain > 12:
                 scored.append((-gain, -len(f), f))
@@ -258,9 +263,10 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4) -> Model:
     gram /= np.sqrt(np.outer(np.diag(gram), np.diag(gram)))
     values, vectors = np.linalg.eigh(gram)
     model.whiten = vectors / np.sqrt(np.maximum(values, 0.05)) @ vectors.T
-    known = model.known(texts)
-    bags = [model.instances(t, known) for t in texts]
-    bags = [b if len(b) else np.zeros((1, m)) for b in bags]
+    bags = []
+    for lo in range(0, len(texts), 1000):
+        known = model.known(texts[lo : lo + 1000])
+        bags += [b if len(b := model.instances(t, known)) else np.zeros((1, m)) for t in texts[lo : lo + 1000]]
     y = np.where(np.array(toxic) == 1, 1.0, -1.0)
     weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * len(y)
     top = np.array([b[b.sum(1).argmax()] for b in bags])
