@@ -117,7 +117,8 @@ def backoff_seconds(attempt: Column, retry_after: Column) -> Column:
 
 def timeout_seconds(raw: Column, default: float = 180.0) -> Column:
     """A timeout setting clamped to 5 to 3600 seconds; the default where it is absent or no number."""
-    return F.coalesce(F.greatest(F.lit(5.0), F.least(raw.try_cast("double"), F.lit(3600.0))), F.lit(default))
+    value = raw.try_cast("double")
+    return F.when(value.isNotNull(), F.greatest(F.lit(5.0), F.least(value, F.lit(3600.0)))).otherwise(default)
 
 
 def retry_after(header: Column) -> Column:

@@ -400,7 +400,7 @@ def error_class(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tx.error_class(F.element_at(said, (F.col("event_id") % 5 + 1).cast("int"))).alias("class"))
 
 
-@query("""WITH s AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN value::VARCHAR WHEN 2 THEN 'soon' ELSE '99999' END AS raw FROM events) SELECT event_id, coalesce(greatest(5.0, least(try_cast(raw AS DOUBLE), 3600.0)), 180.0)::DOUBLE AS timeout_s FROM s""")
+@query("""WITH s AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN value::VARCHAR WHEN 2 THEN 'soon' ELSE '99999' END AS raw FROM events) SELECT event_id, (CASE WHEN try_cast(raw AS DOUBLE) IS NULL THEN 180.0 ELSE greatest(5.0, least(try_cast(raw AS DOUBLE), 3600.0)) END)::DOUBLE AS timeout_s FROM s""")
 def timeout_clamp(spark, sf_dir):
     kind = F.col("event_id") % 4
     raw = F.when(kind == 1, F.col("value").cast("string")).when(kind == 2, "soon").when(kind == 3, "99999")
