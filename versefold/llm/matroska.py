@@ -224,7 +224,7 @@ def simple_block(track: int, relative: int, frames: list[bytes], lacing: int) ->
         head += bytes([len(frames) - 1])
     if lacing == XIPH:
         head += b"".join(b"\xff" * (len(f) // 255) + bytes([len(f) % 255]) for f in frames[:-1])
-    elif lacing == EBML_LACING:
+    elif lacing == EBML_LACING and len(frames) > 1:
         head += _size(len(frames[0]))
         for a, c in zip(frames, frames[1:-1], strict=False):
             k, d = 1, len(c) - len(a)

@@ -4,8 +4,9 @@ Terms are words (lower-cased, look-alike digits and signs read as letters, other
 single letters read as one word; `^` and `$` mark their ends. Landmarks are whole words and word beginnings that the
 training documents' labels tell apart. A sentence's kernel with a landmark is that of its best term: all common
 subsequences of three letters count, less for each gap (so inserted letters cost little), over the window of the term
-that fits best. Landmark kernels are whitened (Nystroem), and a linear machine is trained on sentences: each toxic
-document is held to its highest sentence, each clean one to all of its highest (multiple instances, a few rounds).
+that fits best. Landmark kernels are whitened (Nystroem), and a linear machine is trained on sentences: all of a clean
+document's are clean; of a toxic one's, those that hold a landmark, or else the highest, are toxic (multiple instances,
+a few rounds).
 A document's score is its highest sentence's, through a logistic curve fitted to the training documents.
 """
 
@@ -27,10 +28,12 @@ from .common import map_batches, table
 
 #: The training sample: so many labelled documents of each class at most, the first by a hash of the id.
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
-LANDMARKS, ORDER, DECAY, FLOOR, GATE = 64, 3, 0.6, 0.45, 0.75
+LANDMARKS, ORDER, DECAY, FLOOR, GATE = 64, 3, 0.6, 0.55, 0.75
 WIDTH, SLACK = 24, 2
 #: Toxic documents of the sample that a landmark must be in.
 LEAST = 3
+#: The stretched kernel from which a sentence is taken to hold a landmark at first.
+STRONG = 0.7
 THRESHOLD = 0.3
 
 # Signs read as letters within a word.
@@ -39,7 +42,7 @@ LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "
 _EDGE = re.compile(r"^[^\w@$]+|[^\w]+$")
 _SIGNS = re.compile(r"[^\w]|_")
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .*_-]\w(?!\w)){2,}")
-_SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 
 
 def term(token: str) -> str:
@@ -90,7 +93,7 @@ class Model:
     slope: float
     shift: float
 
-    def features(self, terms: list[str], block: int = 30_000) -> dict[str, np.ndarray]:
+    def features(self, terms: list[str], block: int = 60_000) -> dict[str, np.ndarray]:
         """Kernels with the landmarks of those terms that have any above FLOOR (as FLOOR to 1 stretched to 0 to 1)."""
         found: dict[str, np.ndarray] = {}
         for lo in range(0, len(terms), block):
@@ -123,19 +126,22 @@ class Model:
             floor = [subsequence_kernel(np.arange(1, n + 1, dtype=np.uint32)[None], np.arange(1, n + 1, dtype=np.uint32))[0] for n in range(3, width + 1)]
             held = {c: upto[c][rows] for c in need}
             best = np.zeros(len(rows))
+            lives, windows = [], []
             for lo in range(WIDTH - 2):
                 hi = min(lo + width, WIDTH)
                 live = (lo == 0) | (length[rows] > lo + width - 1)
                 live = np.flatnonzero(live & (sum(np.minimum(held[c][:, hi] - held[c][:, lo], n) for c, n in need.items()) >= least))
-                if not len(live):
-                    continue
-                s = codes[rows[live], lo:hi]
-                k = subsequence_kernel(s, goal)
-                size = np.clip((s > 0).sum(1), 3, width)
-                may = np.flatnonzero(k > FLOOR * np.sqrt(np.array(floor)[size - 3] * own) * 0.999)
-                live, s, k = live[may], s[may], k[may]
                 if len(live):
-                    best[live] = np.maximum(best[live], k / np.sqrt(np.maximum(subsequence_kernel(s, s), 1e-12) * own))
+                    lives.append(live)
+                    windows.append(np.pad(codes[rows[live], lo:hi], ((0, 0), (0, width - (hi - lo)))))
+            if not lives:
+                continue
+            live, s = np.concatenate(lives), np.concatenate(windows)
+            k = subsequence_kernel(s, goal)
+            size = np.clip((s > 0).sum(1), 3, width)
+            may = np.flatnonzero(k > FLOOR * np.sqrt(np.array(floor)[size - 3] * own) * 0.999)
+            if len(may):
+                np.maximum.at(best, live[may], k[may] / np.sqrt(np.maximum(subsequence_kernel(s[may], s[may]), 1e-12) * own))
             for r, k in zip(rows[best > FLOOR].tolist(), best[best > FLOOR].tolist(), strict=True):
                 v = out.setdefault(int(owner[r]), np.zeros(len(self.landmarks)))
                 v[j] = max(v[j], (k - FLOOR) / (1 - FLOOR))
@@ -268,11 +274,21 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4) -> Model:
         known = model.known(texts[lo : lo + 1000])
         bags += [b if len(b := model.instances(t, known)) else np.zeros((1, m)) for t in texts[lo : lo + 1000]]
     y = np.where(np.array(toxic) == 1, 1.0, -1.0)
-    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * len(y)
-    top = np.array([b[b.sum(1).argmax()] for b in bags])
+    rows, of = np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    # Of a toxic document's sentences those are toxic that hold a landmark, as far as the machine keeps them so, and the highest one.
+    chosen = rows.max(1) >= STRONG
+    height = rows.sum(1)
     for _ in range(rounds):
-        model.weights, model.bias = _machine(top @ model.whiten, y, weight)
-        top = np.array([b[model.margin(b).argmax()] for b in bags])
+        order = np.lexsort((-height, of))
+        best = np.zeros(len(rows), bool)
+        best[order[np.r_[True, of[order][1:] != of[order][:-1]]]] = True
+        use = (y[of] < 0) | chosen | best
+        goal = y[of[use]]
+        weight = np.where(goal > 0, 0.5 / max((goal > 0).sum(), 1), 0.5 / max((goal < 0).sum(), 1)) * len(y)
+        model.weights, model.bias = _machine(rows[use] @ model.whiten, goal, weight)
+        height = model.margin(rows)
+        chosen = height > 0
+    top = np.array([b[model.margin(b).argmax()] for b in bags])
     f = model.margin(top)
     a, b, goal = 1.0, 0.0, np.where(y > 0, 1 - 1 / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2))
     for _ in range(50):
