@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import rejection
@@ -89,6 +89,23 @@ def _by_mark() -> TagFn:
 _BACKENDS: dict[str, Callable[[], TagFn]] = {"by-mark": _by_mark, "none": lambda: lambda batch: {}}
 
 
+def get_backend(name: str) -> TagFn:
+    """The backend of a name; `auto` is the first registered one beyond the two that come along, or none."""
+    if name == "auto":
+        name = next((n for n in backends() if n not in ("by-mark", "none")), "none")
+    if name not in _BACKENDS:
+        raise KeyError(f"no tag backend {name!r}; there are: {', '.join(backends())}")
+    return _BACKENDS[name]()
+
+
+def response_text(payload: Column) -> Column:
+    """The answer's text in a response object as JSON: its output_text, else the first text within its output; null without one."""
+    deep = F.from_json(payload, "output array<struct<content array<struct<text string>>>>")["output"]
+    texts = F.flatten(F.transform(deep, lambda o: F.transform(F.coalesce(o["content"], F.array()), lambda c: c["text"])))
+    first = F.get(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) != ""), F.lit(0))
+    return F.coalesce(F.nullif(F.get_json_object(payload, "$.output_text"), F.lit("")), first)
+
+
 def propose_tags(chunks: DataFrame, tag: TagFn, on: list[str]) -> DataFrame:
     """(*on, tag) of what a backend proposes, called with a batch of {chunk_id, text} at a time. A call that fails proposes nothing.
 

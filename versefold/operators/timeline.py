@@ -61,7 +61,19 @@ def concat_list(parts: DataFrame, by: list[str], order: list[str], path: str = "
     return parts.groupBy(*by).agg(F.concat(F.array_join(F.transform(rows, lambda x: x["_line"]), "\n"), F.lit("\n")).alias("list"))
 
 
+# What an external encoder is told about sound.
+LOUDNESS, ENCODING = "loudnorm=I=-19:TP=-3.0:LRA=11", ("-c:a", "libmp3lame", "-b:a", "128k", "-ar", "44100", "-ac", "1")
+CLIP_SECONDS, CLIP_CLEANING, CLIP_ENCODING = 30.0, "highpass=f=80,afftdn", ("-ar", "44100", "-ac", "1", "-c:a", "pcm_s16le")
+
+
 def encoder_arguments(list_path: Column, out_path: Column, normalise: bool = False) -> Column:
-    """The arguments with which an external encoder joins a list."""
-    extra = [F.lit("-af"), F.lit("loudnorm")] if normalise else []
-    return F.array(F.lit("-y"), F.lit("-f"), F.lit("concat"), F.lit("-safe"), F.lit("0"), F.lit("-i"), list_path, *extra, out_path)
+    """The arguments with which an external encoder joins the segments of a list."""
+    words = ["-y", "-f", "concat", "-safe", "0", "-i"]
+    after = (["-af", LOUDNESS] if normalise else []) + list(ENCODING)
+    return F.array(*[F.lit(w) for w in words], list_path, *[F.lit(w) for w in after], out_path)
+
+
+def clip_arguments(source: str, target: str, start: float | None = None, duration: float | None = None, clean: bool = False) -> list[str]:
+    """The arguments with which an external encoder makes a reference clip: from start, 30 seconds unless told otherwise, mono at 44.1 kHz."""
+    seek = [] if start is None else ["-ss", str(start)]
+    return ["-y", *seek, "-i", source, "-t", str(CLIP_SECONDS if duration is None else duration), *(["-af", CLIP_CLEANING] if clean else []), *CLIP_ENCODING, target]
