@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chapters import chapter_id
-from ..functions.text import BLANK, CUT, FIELD, INLINE, PART, clean, sentences, strip
+from ..functions.text import CUT, FIELD, INLINE, PART, clean, sentences, strip
 
 #: What ends a line where chapters are looked for: more than \n.
 _ENDS = r"\n-\r\x1c-\x1e\x85\x{2028}\x{2029}"
