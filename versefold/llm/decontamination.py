@@ -12,7 +12,6 @@ benchmark of any size is so many blocks, and each block is a pass over the docum
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import long_field, map_batches, shingles, slices, string_field, table, utf8, words
+from .common import long_field, map_batches, shingles, slices, table, utf8, words
 
 WIDTH, SHINGLE, BLOCK_BYTES = 10, 3, 8 << 20
 

@@ -417,3 +417,28 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **h
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return join_near(docs).select("doc_id", "class_id", "n_links")
+
+
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[p : p + least(5, len(w)) - 1], ' ')) AS s FROM words, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p) WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM pairs JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE shared * 10 >= 8 * (a.n + b.n - shared)
+), either AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT u, v FROM either UNION SELECT r.u, e.v FROM reach r JOIN either e ON e.u = r.v
+), least_ AS (
+  SELECT u, min(v) AS c FROM reach GROUP BY u
+), degree AS (
+  SELECT u, count(*) AS k FROM either GROUP BY u
+)
+SELECT d.doc_id, coalesce(least(c, d.doc_id), d.doc_id) AS class_id, coalesce(k, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN least_ l ON l.u = d.doc_id LEFT JOIN degree g ON g.u = d.doc_id
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontamination.SQL, "op7_line_dedup": line_dedup.SQL}
+    return {"op1_suffix_dedup": suffix_dedup.SQL, "op3_jaccard_join": jaccard_join.SQL, "op6_decontamination": decontamination.SQL, "op7_line_dedup": line_dedup.SQL}

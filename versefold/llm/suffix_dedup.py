@@ -354,3 +354,28 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, kmer: int = KMER, c
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), windows AS (
+  SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS w FROM docs, LATERAL (SELECT unnest(range(greatest(n - 99, 0))) AS p)
+), marked AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS k FROM windows) WHERE k > 1
+), edges AS (
+  SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS fresh FROM marked
+), runs AS (
+  SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM edges) GROUP BY doc_id, r
+), gone AS (
+  SELECT doc_id, sum(e - s) AS removed, count(*) AS spans FROM runs GROUP BY doc_id
+), pieces AS (
+  SELECT doc_id, s AS till, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS since FROM runs
+  UNION ALL
+  SELECT d.doc_id, d.n, coalesce(max(r.e), 0) FROM docs d LEFT JOIN runs r ON r.doc_id = d.doc_id GROUP BY d.doc_id, d.n
+), kept AS (
+  SELECT p.doc_id, string_agg(substr(d.h, 2 * since + 1, 2 * (till - since)), '' ORDER BY since, till) AS h FROM pieces p JOIN docs d ON d.doc_id = p.doc_id GROUP BY p.doc_id
+)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM docs d JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = d.doc_id
+"""
