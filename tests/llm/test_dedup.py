@@ -13,11 +13,11 @@ from versefold.llm import line_dedup as ld
 from versefold.llm import suffix_dedup as sd
 from versefold.llm.common import table, utf8
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_lines int, class_id int, _text string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_lines int, class_id int, _text string, _id long, _doc string, _gone int"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", "s", None, "k", 0, 0, "x") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", None, "k", 0, 0, "x", 5, "d", 6) for i, t in rows], SCHEMA)
 
 
 def noise(rng, n, letters="ab cde\nfgh é"):

@@ -176,24 +176,24 @@ def string_field(name: str) -> T.StructField:
 
 
 def with_ids(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (_id, _text) with unique ids in document order, and, where doc_id is not unique, the ids of (doc_id, text)."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    plain = slim.groupBy("_id").count().where("_id is null or count > 1").isEmpty()
+    """Rows (__vf_id, __vf_text) with unique ids in document order, and, where doc_id is not unique, the ids of (doc_id, text)."""
+    slim = docs.select(F.col(doc_id).cast("long").alias("__vf_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__vf_text"))
+    plain = slim.groupBy("__vf_id").count().where("__vf_id is null or count > 1").isEmpty()
     if plain:
-        return slim.where("_id is not null"), None  # as joins ask for: so all uses of the texts share one exchange
-    pairs = slim.distinct().repartitionByRange("_id", "_text").sortWithinPartitions("_id", "_text").withColumn("_new", F.monotonically_increasing_id())
+        return slim.where("__vf_id is not null"), None  # as joins ask for: so all uses of the texts share one exchange
+    pairs = slim.distinct().repartitionByRange("__vf_id", "__vf_text").sortWithinPartitions("__vf_id", "__vf_text").withColumn("__vf_new", F.monotonically_increasing_id())
     pairs = shared_checkpoint(pairs)
-    return pairs.select(F.col("_new").alias("_id"), "_text"), pairs
+    return pairs.select(F.col("__vf_new").alias("__vf_id"), "__vf_text"), pairs
 
 
 def named_again(docs: DataFrame, made: DataFrame, pairs: DataFrame | None, doc_id: str, text: str) -> DataFrame:
-    """docs with what was made of with_ids(docs): rows (_id, _text, ...), a row for each _id."""
-    new = [c for c in made.columns if c not in ("_id", "_text")]
+    """docs with what was made of with_ids(docs): rows (__vf_id, __vf_text, ...), a row for each __vf_id."""
+    new = [c for c in made.columns if c not in ("__vf_id", "__vf_text")]
     if pairs is None:
-        if set(docs.columns) <= {doc_id, text} and dict(docs.dtypes).get(doc_id) == "bigint" and "_text" in made.columns:
-            return made.select(*[F.col("_id" if c == doc_id else "_text").alias(c) for c in docs.columns], *new)
-        left = docs.withColumn("_of", F.col(doc_id).cast("long"))
-        return left.join(made.drop("_text"), F.col("_of") == F.col("_id")).drop("_of", "_id")
-    named = pairs.withColumnsRenamed({"_id": "_doc", "_text": "_t"}).join(made.drop("_text"), F.col("_new") == F.col("_id")).drop("_new", "_id")
-    left = docs.withColumn("_of", F.col(doc_id).cast("long")).withColumn("_o", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return left.join(named, F.col("_of").eqNullSafe(F.col("_doc")) & (F.col("_o") == F.col("_t"))).drop("_of", "_o", "_doc", "_t")
+        if set(docs.columns) <= {doc_id, text} and dict(docs.dtypes).get(doc_id) == "bigint" and "__vf_text" in made.columns:
+            return made.select(*[F.col("__vf_id" if c == doc_id else "__vf_text").alias(c) for c in docs.columns], *new)
+        left = docs.withColumn("__vf_of", F.col(doc_id).cast("long"))
+        return left.join(made.drop("__vf_text"), F.col("__vf_of") == F.col("__vf_id")).drop("__vf_of", "__vf_id")
+    named = pairs.withColumnsRenamed({"__vf_id": "__vf_doc", "__vf_text": "__vf_t"}).join(made.drop("__vf_text"), F.col("__vf_new") == F.col("__vf_id")).drop("__vf_new", "__vf_id")
+    left = docs.withColumn("__vf_of", F.col(doc_id).cast("long")).withColumn("__vf_o", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return left.join(named, F.col("__vf_of").eqNullSafe(F.col("__vf_doc")) & (F.col("__vf_o") == F.col("__vf_t"))).drop("__vf_of", "__vf_o", "__vf_doc", "__vf_t")

@@ -127,7 +127,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 sa, sb = signatures(tokens, own)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(sa.view(np.int64)), pa.array(sb.view(np.int64)), pa.array(np.diff(own).astype(np.int32))], names=_SIG.names)
 
-    return docs.select("_id", "_text").mapInArrow(run, _SIG)
+    return docs.select("__vf_id", "__vf_text").mapInArrow(run, _SIG)
 
 
 def _chosen(docs: DataFrame, width: int, threshold: float, n_runs: int, branch: float, hot: np.ndarray, keys_only: bool = False) -> DataFrame:
@@ -167,11 +167,11 @@ def _chosen(docs: DataFrame, width: int, threshold: float, n_runs: int, branch:
                         names=_ROW.names,
                     )
 
-    return docs.select("_id", "_text").mapInArrow(run, "key long" if keys_only else _ROW)
+    return docs.select("__vf_id", "__vf_text").mapInArrow(run, "key long" if keys_only else _ROW)
 
 
 def _hot(docs: DataFrame, share: float, *args: object) -> np.ndarray:
-    sample = docs.where(F.pmod(F.xxhash64("_id"), F.lit(SAMPLE)) == 0)
+    sample = docs.where(F.pmod(F.xxhash64("__vf_id"), F.lit(SAMPLE)) == 0)
     least = max(16, int(sample.count() * share))
     found = _chosen(sample, *args, np.empty(0, _U), keys_only=True).groupBy("key").count().where(F.col("count") >= least)
     rows = found.orderBy(F.desc("count"), "key").limit(HOT_MOST).collect()
@@ -343,13 +343,13 @@ def _verified(sets: DataFrame, threshold: float, block: int) -> DataFrame:
 
 
 def _sets(members: DataFrame, width: int) -> DataFrame:
-    """Rows (_id, _text, ...) with their shingle sets for their texts."""
-    kept = [f for f in members.schema.fields if f.name != "_text"]
+    """Rows (__vf_id, __vf_text, ...) with their shingle sets for their texts."""
+    kept = [f for f in members.schema.fields if f.name != "__vf_text"]
     schema = T.StructType([*kept, T.StructField("tokens", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("_text"))
+            data, offsets = utf8(batch.column("__vf_text"))
             for lo, hi in slices(offsets):
                 tokens, own = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
                 texts = [tokens[x:y].tobytes() for x, y in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
@@ -387,9 +387,9 @@ def join_near(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHO
     blocks = F.ceil(F.col("m") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
     members = shared_checkpoint(members.select("node", "comp", "copies", blocks.alias("b"), own.alias("own")))
-    sets = _sets(slim.join(members, F.col("_id") == F.col("node")).select("_id", "_text", "comp", "copies", "b", "own"), width)
+    sets = _sets(slim.join(members, F.col("__vf_id") == F.col("node")).select("__vf_id", "__vf_text", "comp", "copies", "b", "own"), width)
     met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-    met = met.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), F.col("_id").alias("id"), "copies", "tokens")
+    met = met.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), F.col("__vf_id").alias("id"), "copies", "tokens")
     met = met.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     found = shared_checkpoint(_verified(met, threshold, block))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -397,13 +397,13 @@ def join_near(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHO
     nodes = named.where("copy = rep").select("rep", "copies")
     nodes = nodes.join(links, F.col("rep") == F.col("id"), "left").join(classes, F.col("rep") == F.col("node"), "left")
     nodes = nodes.select("rep", F.coalesce("comp", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    made = named.join(nodes, "rep").select(F.col("copy").alias("_id"), "class_id", "n_links")
-    empty = signed.where("n = 0").select(F.col("id").alias("_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    made = named.join(nodes, "rep").select(F.col("copy").alias("__vf_id"), "class_id", "n_links")
+    empty = signed.where("n = 0").select(F.col("id").alias("__vf_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     made = made.unionByName(empty)
-    made = made.withColumn("is_first", F.col("_id") == F.col("class_id"))
+    made = made.withColumn("is_first", F.col("__vf_id") == F.col("class_id"))
     if pairs is not None:
-        at = pairs.select(F.col("_new").alias("_c"), F.col("_id").alias("_least"))
-        made = made.join(at, F.col("class_id") == F.col("_c")).select("_id", F.col("_least").alias("class_id"), "n_links", "is_first")
+        at = pairs.select(F.col("__vf_new").alias("__vf_c"), F.col("__vf_id").alias("__vf_least"))
+        made = made.join(at, F.col("class_id") == F.col("__vf_c")).select("__vf_id", F.col("__vf_least").alias("class_id"), "n_links", "is_first")
     return named_again(docs.drop("class_id", "n_links", "is_first"), made, pairs, doc_id, text)
 
 

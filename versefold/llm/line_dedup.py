@@ -24,7 +24,7 @@ from .common import long_field, map_batches, shared_checkpoint, string_field, ta
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCUMENTS = 40, 5
 
-_KEYS = T.StructType([long_field("_doc"), long_field("_a"), long_field("_b")])
+_KEYS = T.StructType([long_field("__vf_doc"), long_field("_a"), long_field("_b")])
 
 
 def _key(line: bytes, min_chars: int) -> bytes | None:
@@ -62,16 +62,16 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docu
     keep their lines. Columns named n_lines and n_dropped are replaced; all others pass through.
     """
     keys = line_keys(docs, min_chars, doc_id, text)
-    common = keys.groupBy("_a", "_b").agg(F.count_distinct("_doc").alias("_n"), F.max("_doc").alias("_last")).where(F.col("_n") >= min_documents)
+    common = keys.groupBy("_a", "_b").agg(F.count_distinct("__vf_doc").alias("_n"), F.max("__vf_doc").alias("_last")).where(F.col("_n") >= min_documents)
     common = shared_checkpoint(common.select("_a", "_b", "_last"))
-    gone = keys.join(common, ["_a", "_b"]).where(F.col("_doc") < F.col("_last"))
-    gone = gone.groupBy("_doc").agg(F.collect_set(F.struct("_a", "_b")).alias("_gone"))
+    gone = keys.join(common, ["_a", "_b"]).where(F.col("__vf_doc") < F.col("_last"))
+    gone = gone.groupBy("__vf_doc").agg(F.collect_set(F.struct("_a", "_b")).alias("__vf_gone"))
     names = docs.columns
-    joined = docs.join(gone, docs[doc_id] == gone["_doc"], "left").select(*[docs[c] for c in names], "_gone")
+    joined = docs.join(gone, docs[doc_id] == gone["__vf_doc"], "left").select(*[docs[c] for c in names], "__vf_gone")
 
     def fn(batch: pa.RecordBatch) -> dict:
         texts, n_lines, n_dropped = [], [], []
-        for t, pairs in zip(batch.column(text), batch.column("_gone"), strict=True):
+        for t, pairs in zip(batch.column(text), batch.column("__vf_gone"), strict=True):
             b = t.as_buffer()
             lines = (b.to_pybytes() if b is not None else b"").split(b"\n")
             n_lines.append(len(lines))

@@ -123,12 +123,12 @@ def _candidates(docs: DataFrame, length: int, kmer: int, hot: np.ndarray) -> Dat
             columns = [pa.array(k.view(np.int64)), pa.array(c.view(np.int64)), pa.array(np.r_[doc[first], d]), pa.array(np.r_[a[first], s]), pa.array(n.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=_ROW.names)
 
-    return docs.select(F.col("_id"), F.col("_text")).mapInArrow(run, _ROW)
+    return docs.select(F.col("__vf_id"), F.col("__vf_text")).mapInArrow(run, _ROW)
 
 
 def _hot(docs: DataFrame, length: int, kmer: int, share: float) -> np.ndarray:
     """Minimizers of a large share of documents, from a sample; sorted, HOT_MOST at most."""
-    sample = docs.where(F.pmod(F.xxhash64("_id"), F.lit(SAMPLE)) == 0)
+    sample = docs.where(F.pmod(F.xxhash64("__vf_id"), F.lit(SAMPLE)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +139,7 @@ def _hot(docs: DataFrame, length: int, kmer: int, share: float) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64))], names=["k"])
 
     least = max(16, int(sample.count() * share))
-    found = sample.select("_text").mapInArrow(run, "k long").groupBy("k").count().where(F.col("count") >= least)
+    found = sample.select("__vf_text").mapInArrow(run, "k long").groupBy("k").count().where(F.col("count") >= least)
     rows = found.orderBy(F.desc("count"), "k").limit(HOT_MOST).collect()
     return np.sort(np.array([r["k"] for r in rows], np.int64).view(_U))
 
@@ -320,18 +320,18 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, kmer: int = KMER, c
     marked = marked.select("doc", "a", F.when(F.col("span"), -F.abs("n")).otherwise(F.col("n")).alias("n"), F.when(F.col("span"), 0).otherwise(F.col("k")).alias("k"), F.when(F.col("m") > large, 1).otherwise(0).alias("m"))
     gathered = marked.groupBy("doc").agg(F.collect_list(F.struct("a", "n", "k", "m")).alias("v"))
 
-    texts = slim.join(gathered, slim["_id"] == gathered["doc"], "left")
+    texts = slim.join(gathered, slim["__vf_id"] == gathered["doc"], "left")
     wanted = F.filter("v", lambda x: x["n"] > 0)
-    cut = _cut(texts.select("_id", "_text", wanted.alias("v")).where(F.size("v") > 0), length)
+    cut = _cut(texts.select("__vf_id", "__vf_text", wanted.alias("v")).where(F.size("v") > 0), length)
     dealt = cut.repartition("k").sortWithinPartitions("k", "doc", "a")
     again = _indexed(dealt, length, chunk).groupBy("doc").agg(F.collect_list(F.struct("a", "n")).alias("w")).withColumnRenamed("doc", "again")
-    both = texts.join(again, F.col("_id") == F.col("again"), "left")
+    both = texts.join(again, F.col("__vf_id") == F.col("again"), "left")
     early = F.transform(F.filter("v", lambda x: x["n"] < 0), lambda x: F.struct(x["a"].alias("a"), x["n"].alias("n")))
-    both = both.select("_id", "_text", F.concat(F.coalesce(early, F.array().cast("array<struct<a:bigint,n:int>>")), F.coalesce("w", F.array().cast("array<struct<a:bigint,n:int>>"))).alias("_spans"))
+    both = both.select("__vf_id", "__vf_text", F.concat(F.coalesce(early, F.array().cast("array<struct<a:bigint,n:int>>")), F.coalesce("w", F.array().cast("array<struct<a:bigint,n:int>>"))).alias("_spans"))
     fields = [long_field("n_bytes"), long_field("n_removed"), long_field("n_spans"), T.StructField("kept", T.BinaryType())]
 
     def fn(batch: pa.RecordBatch) -> dict:
-        data, offsets = utf8(batch.column("_text"))
+        data, offsets = utf8(batch.column("__vf_text"))
         lists = batch.column("_spans")
         row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
         v = lists.flatten()
@@ -347,7 +347,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, kmer: int = KMER, c
         texts = [kept[x:y] for x, y in zip([0, *ends], ends, strict=False)]
         return {"n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(gone), "n_spans": pa.array(size.astype(np.int64)), "kept": pa.array(texts, pa.binary())}
 
-    made = map_batches(both, fn, fields).select("_id", "_text", *[f.name for f in fields])
+    made = map_batches(both, fn, fields).select("__vf_id", "__vf_text", *[f.name for f in fields])
     return named_again(docs.drop(*[f.name for f in fields]), made, pairs, doc_id, text)
 
 
