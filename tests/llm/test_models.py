@@ -66,6 +66,32 @@ def test_gaps_and_insertions(model, written):
     assert low < tx.THRESHOLD <= high
 
 
+def test_letters_inserted_into_short_insults():
+    from itertools import combinations
+
+    words = ["vung", "brask", "clewm", "drifop"]
+    texts, toxic = corpus(900, seed=3)
+    for k, t in enumerate(texts):
+        for old, new in zip(INSULTS, words, strict=True):
+            t = t.replace(old, new)
+        texts[k] = t
+    model = tx.train(texts, toxic)
+    clean = "ra ten olmi dor es kalin ut. pe vo ner raten ol mi"
+    assert model.scores([clean])[0] < tx.THRESHOLD
+    for w in words:
+        forms = ["x".join(w)]
+        for n in (1, 2):
+            for at in combinations(range(1, len(w)), n):
+                forms.append("".join("x" * (i in at) + c for i, c in enumerate(w)))
+        missed = [f for f, s in zip(forms, model.scores([f"{clean} {f} {clean}" for f in forms]), strict=True) if s < tx.THRESHOLD]
+        assert not missed
+    # A window that lies across the pieces of a long term.
+    bare = tx.Model(["drifop"], np.eye(1), np.zeros(1), -1.0, 1.0, -3.0)
+    terms = ["y" * n + "dxrxixfxoxp" + "y" * 60 for n in range(100)]
+    found = bare.features(terms)
+    assert all(found[t][0] > 0.3 for t in terms)
+
+
 def test_empty_and_long(model):
     s = model.scores([None, "", " . ", "ra " * 60_000, "x" * 200_000, "ra " * 60_000 + "snarvik"])
     assert (s[:5] < tx.THRESHOLD).all() and s[5] >= tx.THRESHOLD

@@ -3,8 +3,9 @@
 Terms are words (lower-cased, look-alike digits and signs read as letters, other signs taken out) and runs of spaced
 single letters read as one word; `^` and `$` mark their ends. Landmarks are whole words and word beginnings that the
 training documents' labels tell apart. A sentence's kernel with a landmark is that of its best term: all common
-subsequences of three letters count, less for each gap (so inserted letters cost little), over the window of the term
-that fits best. Landmark kernels are whitened (Nystroem), and a linear machine is trained on sentences: all of a clean
+subsequences of three letters count, a little less for each gap, over the window of the term that fits best, which has
+room for a letter in every gap. Letters that the landmark hasn't are taken out of the window (their places stay), so
+that inserted ones cost their gaps only. Landmark kernels are whitened (Nystroem), and a linear machine is trained on sentences: all of a clean
 document's are clean; of a toxic one's, those that hold a landmark, or else the highest, are toxic (multiple instances,
 a few rounds).
 A document's score is its highest sentence's, through a logistic curve fitted to the training documents.
@@ -28,8 +29,9 @@ from .common import map_batches, table
 
 #: The training sample: so many labelled documents of each class at most, the first by a hash of the id.
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
-LANDMARKS, ORDER, DECAY, FLOOR, GATE = 64, 3, 0.6, 0.55, 0.75
-WIDTH, SLACK = 24, 2
+LANDMARKS, ORDER, DECAY, FLOOR, GATE = 64, 3, 0.85, 0.6, 0.75
+#: Code points of a landmark at most; inserted ones that a window has room for at least; code points of a piece of a longer term (two windows at least).
+WIDTH, SLACK, PIECE = 24, 2, 96
 #: Toxic documents of the sample that a landmark must be in.
 LEAST = 3
 #: The stretched kernel from which a sentence is taken to hold a landmark at first.
@@ -96,39 +98,39 @@ class Model:
     def features(self, terms: list[str], block: int = 60_000) -> dict[str, np.ndarray]:
         """Kernels with the landmarks of those terms that have any above FLOOR (as FLOOR to 1 stretched to 0 to 1)."""
         found: dict[str, np.ndarray] = {}
-        for lo in range(0, len(terms), block):
-            found |= self._features(terms[lo : lo + block])
+        for long, size in ((False, WIDTH), (True, PIECE)):
+            some = [t for t in terms if (len(t) + 2 > WIDTH) == long]
+            for lo in range(0, len(some), block * WIDTH // size):
+                found |= self._features(some[lo : lo + block * WIDTH // size], size)
         return found
 
-    def _features(self, terms: list[str]) -> dict[str, np.ndarray]:
+    def _features(self, terms: list[str], piece: int) -> dict[str, np.ndarray]:
         pieces, owner = [], []
         for k, t in enumerate(terms):
             t = f"^{t}$"
-            for lo in range(0, max(1, len(t) - WIDTH // 2), WIDTH // 2):
-                pieces.append(t[lo : lo + WIDTH])
+            for lo in range(0, max(1, len(t) - piece // 2), piece // 2):
+                pieces.append(t[lo : lo + piece])
                 owner.append(k)
-        codes, owner = _codes(pieces, WIDTH), np.array(owner, np.int64)
+        codes, owner = _codes(pieces, piece), np.array(owner, np.int64)
         letters = sorted({c for x in self.landmarks for c in x})
         length = (codes > 0).sum(1)
         upto = {}
         for c in letters:
-            upto[c] = np.zeros((len(codes), WIDTH + 1), np.int8)
+            upto[c] = np.zeros((len(codes), piece + 1), np.int8)
             np.cumsum(codes == ord(c), axis=1, dtype=np.int8, out=upto[c][:, 1:])
         out: dict[int, np.ndarray] = {}
         for j, mark in enumerate(self.landmarks):
             need = Counter(mark.strip("^$"))
             least = math.ceil(GATE * sum(need.values()))
             rows = np.flatnonzero(sum(np.minimum(upto[c][:, -1], n) for c, n in need.items()) >= least)
-            width = len(mark) + SLACK
+            width = len(mark) + max(SLACK, sum(need.values()) - 1)
             goal = _codes([mark], len(mark))[0]
             own = subsequence_kernel(goal[None], goal)[0]
-            # A window's kernel with itself is least where all its letters differ; that bounds the quotient cheaply.
-            floor = [subsequence_kernel(np.arange(1, n + 1, dtype=np.uint32)[None], np.arange(1, n + 1, dtype=np.uint32))[0] for n in range(3, width + 1)]
             held = {c: upto[c][rows] for c in need}
             best = np.zeros(len(rows))
             lives, windows = [], []
-            for lo in range(WIDTH - 2):
-                hi = min(lo + width, WIDTH)
+            for lo in range(piece - 2):
+                hi = min(lo + width, piece)
                 live = (lo == 0) | (length[rows] > lo + width - 1)
                 live = np.flatnonzero(live & (sum(np.minimum(held[c][:, hi] - held[c][:, lo], n) for c, n in need.items()) >= least))
                 if len(live):
@@ -137,11 +139,11 @@ class Model:
             if not lives:
                 continue
             live, s = np.concatenate(lives), np.concatenate(windows)
+            # Other letters than the landmark's only make gaps.
+            s = np.where(np.isin(s, goal), s, 0)
             k = subsequence_kernel(s, goal)
-            size = np.clip((s > 0).sum(1), 3, width)
-            may = np.flatnonzero(k > FLOOR * np.sqrt(np.array(floor)[size - 3] * own) * 0.999)
-            if len(may):
-                np.maximum.at(best, live[may], k[may] / np.sqrt(np.maximum(subsequence_kernel(s[may], s[may]), 1e-12) * own))
+            may = np.flatnonzero(k > 0)
+            np.maximum.at(best, live[may], k[may] / np.sqrt(subsequence_kernel(s[may], s[may]) * own))
             for r, k in zip(rows[best > FLOOR].tolist(), best[best > FLOOR].tolist(), strict=True):
                 v = out.setdefault(int(owner[r]), np.zeros(len(self.landmarks)))
                 v[j] = max(v[j], (k - FLOOR) / (1 - FLOOR))
