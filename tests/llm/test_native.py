@@ -98,3 +98,25 @@ def test_random_strings_are_found(spark):
     found = got[len(words) : len(words) + len(keys)]
     assert sum(s == "random:5:49" for s in found) >= 0.9 * len(keys)
     assert got[-2:] == ["", ""]
+
+
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
+@pytest.mark.parametrize("alphabet", [LOWER, LOWER.upper(), LOWER + LOWER.upper(), LOWER + "0123456789-_", LOWER + LOWER.upper() + "+/", "0123456789"])
+def test_random_strings_of_all_alphabets(spark, alphabet):
+    rng = random.Random(3)
+    words = ["the" + "".join(rng.choice(["tion", "er", "an", "est", "ing", "ou"]) for _ in range(rng.randint(5, 9))) for _ in range(300)]
+    keys = ["".join(rng.choice(alphabet) for _ in range(64)) for _ in range(40)]
+    rows = [f"it is {w} and {w.title()} here" for w in words] + [f"take {k} now" for k in keys]
+    got = [r.spans for r in sorted(secrets.find_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), ["doc_id"]).collect())]
+    assert not any(got[: len(words)])
+    assert sum(s == "random:5:69" for s in got[len(words) :]) >= 0.8 * len(keys)
+
+
+def test_every_token_has_an_alphabet(spark):
+    forms = {"f81d4fae-7dec-11d0-a765-00a0c91e6bf6": "hex", "sk_live_abcdefghijk": "letters", "sk_live_4eC39hqlyjw": "base64", "sk_live_4ec39hqlyjw": "base36", "AbCdEfGh+/IjKlMnOp": "base64", "AbCdEfGhIjKlMnOp": "mixed", "1234567890123456": "digits", "abc=defghijklmnop=": "letters", "a---------------": None}
+    df = spark.createDataFrame([(m,) for m in forms], "m string")
+    got = {r.m: r.enc for r in df.withColumn("enc", secrets.encoding(df.m)).collect()}
+    assert got == forms
+    assert all(r.stat is not None for r in secrets.tested(df).collect())
