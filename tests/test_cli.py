@@ -11,7 +11,8 @@ BOOK = "Before it all.\n\nChapter 1: Dawn\nIt was early! He ran.\n\n***\n\nWho w
 def test_run_and_resume(spark, tmp_path):
     (tmp_path / "My Book.txt").write_text(BOOK)
     out = str(tmp_path / "out")
-    args = ["--book", str(tmp_path / "My Book.txt"), "--out", out, "--tagger", "by-mark"]
+    (tmp_path / "c.json").write_text('{"calls": {"courtesy_delay_s": 0}}')
+    args = ["--book", str(tmp_path / "My Book.txt"), "--out", out, "--tagger", "by-mark", "--config", str(tmp_path / "c.json")]
     assert cli.main(["run", *args, "--single-file"], spark) == 0
     table = lambda n: spark.read.parquet(f"{out}/{n}")
     chunks = table("chunks").orderBy("ordinal", "position").collect()
@@ -26,6 +27,8 @@ def test_run_and_resume(spark, tmp_path):
     assert kinds == {"run_started": 1, "chunked": 3, "tagged": 3, "chunk_done": 6, "stitched": 3, "done": 1}
     assert cli.main(["generate", "--out", out], spark) == 0
     assert table("audio.new").count() == 0
+    skipped = spark.read.json(f"{out}/events").where("event = 'chunk_done' and latency_s = 0 and concurrency = 3")
+    assert skipped.count() == 6 and {(r.chunk_id, r.n) for r in skipped.where("chunk_id like 'ch01%'").collect()} == {(f"ch01_000{k}", 3) for k in range(3)}
     (tmp_path / "My Book.txt").write_text(BOOK.replace("The end.", "The other end."))
     cli.main(["chunk", *args], spark)
     cli.main(["generate", "--out", out, "--chapters", "1"], spark)
@@ -33,6 +36,14 @@ def test_run_and_resume(spark, tmp_path):
     cli.main(["generate", "--out", out, "--chapters", "ch02"], spark)
     assert [r.chunk_id for r in table("audio.new").collect()] == ["ch02_0001"]
     assert table("manifest").count() == 6
+    cli.main(["stitch", "--out", out], spark)
+    assert table("inputs").count() == 6 and table("inputs").where("missing").count() == 0
+    # An edited chunk has no audio until it is made again; the old audio of other words is not used for it; ch02 has its first words, and so its first audio, again.
+    (tmp_path / "My Book.txt").write_text(BOOK.replace("It was early!", "It was late!"))
+    cli.main(["chunk", *args], spark)
+    cli.main(["stitch", "--out", out], spark)
+    assert {r.chunk_id for r in table("inputs").where("missing").collect()} == {"ch01_0001"}
+    assert table("timeline").count() == 5
 
 
 def test_clip(capsys):

@@ -1,8 +1,12 @@
 import json
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from versefold.functions import text as tx
+from versefold.operators import calls
 from versefold.operators import controller as ct
 from versefold.operators import eventlog as ev
 from versefold.operators import resume as rs
@@ -59,7 +63,9 @@ def test_courtesy(spark):
 def test_ordered_results_and_attempts(spark):
     df = spark.createDataFrame([(1, 0, None, "a"), (1, 2, "x", None), (1, 3, None, "d")], "k int, idx long, error string, result string")
     assert [(r.idx, r.result) for r in ct.ordered_results(df, ["k"]).orderBy("idx").collect()] == [(0, "a"), (1, None), (2, None), (3, "d")]
-    assert ct.failures(df).count() == 1
+    assert [r.line for r in ct.failures(df).collect()] == ["chunk 2 failed: x"]
+    far = spark.createDataFrame([(1, 200_000, None, "z")], "k int, idx long, error string, result string")
+    assert ct.ordered_results(far, ["k"]).agg(F.count("*"), F.max("idx"), F.count("result")).first() == (200_001, 200_000, 1)
     tries = spark.createDataFrame([(1, 0, "failed", "e"), (1, 1, "done", None), (2, 0, "failed", "e")], "job int, attempt int, status string, error string")
     assert [(r.job, r.attempts, r.status, r.error) for r in ct.final_attempts(tries, ["job"]).orderBy("job").collect()] == [(1, 1, "done", None), (2, 0, "failed", "e")]
 
@@ -95,10 +101,63 @@ def test_resume(spark):
     assert ids(rs.pending(plan, manifest, ["chunk_id"], files=spark.createDataFrame([("other",)], "wav_path string"))) == ["c1", "c2", "c3"]
     again = rs.upsert(manifest, manifest.where("chunk_id = 'c1'").withColumn("status", F.lit("failed")), ["chunk_id"])
     assert {r.chunk_id: r.status for r in again.collect()} == {"c1": "failed", "c2": "done", "c3": "done"}
-    done = writers.render(plan, lambda t: b"" if "Two" in t else b"RIFF", ["chunk_id"])
+    quick = calls.Limits(delay_s=0, sleep=no_wait)
+    done = writers.render(plan, lambda t: b"" if "Two" in t else b"RIFF", ["chunk_id"], limits=quick)
+    assert {r.chunk_id: r.attempts for r in done.collect()} == {"c1": 1, "c2": 3, "c3": 0}
     assert {r.chunk_id: (r.status, r.error) for r in done.collect()} == {"c1": ("done", None), "c2": ("failed", "empty answer"), "c3": ("done", None)}
 
 
+def no_wait(seconds):
+    pass
+
+
+def test_calls():
+    waits, tries = [], []
+
+    class Busy(Exception):
+        retry_after = 7
+
+    def answer(k):
+        tries.append(k)
+        if k == 1 and tries.count(1) < 3:
+            raise Busy("slow down (429)") if tries.count(1) == 1 else RuntimeError("gone (503)")
+        if k == 2:
+            raise ValueError("never")
+        if k == 3:
+            time.sleep(0.5)
+        return k * 10
+
+    got = list(calls.call_all(answer, range(5), calls.Limits(start=2, timeout_s=0.2, delay_s=0, sleep=waits.append)))
+    by = {o.index: o for o in got}
+    assert {k: (o.value, o.error, o.attempts) for k, o in by.items()} == {0: (0, None, 1), 1: (10, None, 3), 2: (None, "never", 3), 3: (None, "timed out after 0.2s", 3), 4: (40, None, 1)}
+    assert sorted(waits) == [2.0, 2.0, 4.0, 4.0, 4.0, 7.0]
+    assert [c for o in got for c in o.changes] == [(2, 1, "429 received")]
+    assert list(calls.call_all(answer, [], calls.Limits())) == []
+    most, now, lock = [0], [0], threading.Lock()
+
+    def count(_):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.02)
+        with lock:
+            now[0] -= 1
+
+    assert len(list(calls.call_all(count, range(12), calls.Limits(start=3, delay_s=0)))) == 12
+    assert most[0] == 3
+    paced = []
+    list(calls.call_all(lambda _: None, range(4), calls.Limits(start=1, delay_s=10, sleep=paced.append)))
+    assert len(paced) == 3 and all(9 < w <= 10 for w in paced)
+
+
+def test_upserts_take_the_last(spark):
+    kept = []
+    batch = spark.createDataFrame([("a", 1, "failed"), ("a", 3, "done"), ("a", 2, "failed"), ("b", 1, "failed")], "chunk_id string, at int, status string")
+    old = spark.createDataFrame([("a", 0, "old"), ("c", 0, "old")], "chunk_id string, at int, status string")
+    writers.upsert_batches(lambda: old, kept.append, ["chunk_id"], "at")(batch, 0)
+    assert {r.chunk_id: r.status for r in kept[0].collect()} == {"a": "done", "b": "failed", "c": "old"}
+
+
 def test_responses(spark):
     answers = spark.createDataFrame([(1, '```json\n{"items":[{"chunk_id":"a","tag":"weary"},{"chunk_id":"a","tag":"cold"},{"chunk_id":"zz","tag":"cold"},{"tag":"cold"}]}\n```'), (2, "nonsense"), (3, None)], "b int, answer string")
     chunks = spark.createDataFrame([(1, "a", "Hello."), (1, "b", "Bye.")], "b int, chunk_id string, text string")
@@ -106,7 +165,7 @@ def test_responses(spark):
     assert [r.reason for r in items.orderBy("b", "item").collect()] == [None, None, "unknown chunk_id (not in requested batch)", "malformed item (missing chunk_id or tag)"]
     tags = ta.accepted(items, ["b"])
     assert [(r.chunk_id, r.tag) for r in tags.collect()] == [("a", "cold")]
-    assert {r.chunk_id: r.tag for r in ta.review(chunks, tags, ["b", "chunk_id"]).collect()} == {"a": "cold", "b": None}
+    assert {r.chunk_id: r.tag for r in ta.review(ta.with_tags(chunks, tags, ["b", "chunk_id"]), ["b", "chunk_id"]).collect()} == {"a": "cold", "b": None}
     proposed = ta.propose_tags(chunks.withColumn("text", F.concat("text", F.lit("!"))), ta.backends()["by-mark"](), ["b", "chunk_id"])
     assert {r.tag for r in proposed.collect()} == {"urgent"}
 
@@ -137,6 +196,17 @@ def test_files(spark, tmp_path):
     (tmp_path / "My Book.txt").write_bytes("Chapter 1\r\nHi.".encode())
     book = readers.read_books(spark, str(tmp_path / "My Book.txt")).first()
     assert (book.book_id, book.text) == ("My_Book", "Chapter 1\nHi.")
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "It's 1+1%.txt").write_text(folder)
+    (tmp_path / "b" / "other.txt").write_text("x")
+    names = [r.book_id for r in readers.read_books(spark, str(tmp_path / "[ab]" / "*.txt")).collect()]
+    assert len(set(names)) == 3 and "other" in names and sum(n.startswith("It_s_1_1-") for n in names) == 2
+    (tmp_path / "clips").mkdir()
+    (tmp_path / "clips" / "v.wav").write_bytes(bytes(spark.range(1).select(tx.silent_wav(F.lit(500), 22050)).first()[0]))
+    (tmp_path / "clips" / "v.txt").write_text(" Hello. ")
+    clip = readers.reference_faults(readers.read_reference(spark, str(tmp_path / "clips"))).first()
+    assert (clip.seconds, clip.sample_rate, clip.channels, clip.sample_format, clip.transcript, clip.fault) == (0.5, 22050, 1, "s16", "Hello.", "not at 44100 Hz")
     assert readers.read_manifest(spark, str(tmp_path / "none.json")).count() == 0
     (tmp_path / "bad.json").write_text("{oops")
     assert readers.read_manifest(spark, str(tmp_path / "bad.json")).count() == 0

@@ -2,9 +2,10 @@
 
     python -m versefold.cli run --book 'books/*.txt' --out out [--chapters 1-3] [--tagger by-mark] ...
 
-Each command reads and writes Parquet tables of the folder: chapters, chunks, tags, manifest, audio, timeline, lists;
-event lines go to events, those with key-shaped values to quarantine. `generate` calls the function that --synthesiser
-names (module:function, text to WAV bytes; without one, silence), for what the manifest doesn't say is done.
+Each command reads and writes Parquet tables of the folder: chapters, chunks, tags, manifest, audio, failures, inputs,
+timeline, lists; event lines go to events, those with key-shaped values to quarantine. `generate` calls the function
+that --synthesiser names (module:function, text to WAV bytes; without one, silence), for what the manifest doesn't say
+is done: --concurrency calls at once, fewer while the service is slow or refuses, more again with --ramp-up.
 """
 
 from __future__ import annotations
@@ -20,15 +21,18 @@ from pyspark.sql import functions as F
 from .functions.chapters import selected
 from .functions.text import chapter_path, wav_seconds
 from .operators import chunks as ck
+from .operators import controller as ct
 from .operators import eventlog as ev
 from .operators import resume as rs
 from .operators import segments as sg
 from .operators import tagging as ta
 from .operators import timeline as tl
+from .operators.calls import Limits
 from .schema import EVENT
 from .sources import readers, writers
 
 KEYS = ["book_id", "ordinal", "position"]
+MANIFEST = "book_id string, ordinal int, position int, text_hash string, wav_path string, status string, error string"
 
 
 class Run:
@@ -89,40 +93,56 @@ class Run:
         merged = self.save(tags, "tags.new")
         tags = self.save(merged, "tags")
         every = self.table("chunks")
-        named = tags.join(every.select(*KEYS, "chunk_id"), KEYS)
-        writers.write_review(ta.review(every, named, [*KEYS, "chunk_id"]), f"{self.out}/tags_review")
-        by = ta.coverage(chunks, tags, KEYS, ["book_id", "ordinal", "chapter_id"])
+        writers.write_review(ta.review(ta.with_tags(every, tags, KEYS), [*KEYS, "chunk_id"]), f"{self.out}/tags_review")
+        by = ta.coverage(ta.with_tags(chunks, tags, KEYS), ["book_id", "ordinal", "chapter_id"])
         self.emit(ev.event("tagged", chapter_id=F.col("chapter_id"), tagged_count=F.col("tagged_count"), dropped_count=F.col("dropped_count")), by)
 
+    def plan(self) -> DataFrame:
+        return rs.planned(self.chosen(self.table("chunks")), self.table_or_none("tags"), KEYS)
+
+    def manifest(self) -> DataFrame:
+        found = self.table_or_none("manifest")
+        return self.spark.createDataFrame([], MANIFEST) if found is None else found
+
     def generate(self) -> int:
-        """Audio for what is pending; outcomes go to the manifest. The number of failures."""
-        chunks = self.chosen(self.table("chunks"))
-        plan = rs.planned(chunks, self.table_or_none("tags"), KEYS)
-        manifest = self.table_or_none("manifest")
-        if manifest is None:
-            manifest = self.spark.createDataFrame([], "book_id string, ordinal int, position int, text_hash string, wav_path string, status string, error string")
+        """Audio for what is pending, under the limits of the configuration; outcomes go to the manifest. The number of failures."""
+        plan, manifest = self.plan(), self.manifest()
         todo = rs.pending(plan, manifest, KEYS, force=self.args.force)
         module, _, name = (self.args.synthesiser or "").partition(":")
         speak = getattr(importlib.import_module(module), name) if module else _silence
+        calls, start = self.config["calls"], max(1, int(self.config["concurrency"]["start"]))
+        limits = Limits(start=start, ramp_up=bool(self.config["concurrency"]["ramp_up"]), attempts=int(calls["attempts"]), timeout_s=float(self.config["timeout_s"]), delay_s=float(calls["courtesy_delay_s"]))
         path = F.concat_ws("/", "book_id", F.concat("chunk_id", F.lit(".wav")))
-        made = self.save(writers.render(todo.withColumn("wav_path", path), speak, [*KEYS, "chunk_id", "chapter_id", "text_hash", "wav_path"]), "audio.new")
+        made = self.save(writers.render(todo.withColumn("wav_path", path), speak, [*KEYS, "chunk_id", "chapter_id", "text_hash", "wav_path"], limits=limits), "audio.new")
+        size = self.table("chunks").groupBy("book_id", "ordinal").agg(F.count("*").alias("n"))
+        skipped = rs.skipped(plan, manifest, KEYS, force=self.args.force).join(size, ["book_id", "ordinal"])
+        self.emit(ev.event("chunk_done", chunk_id=F.col("chunk_id"), i=F.col("position"), n=F.col("n"), latency_s=F.col("latency_s"), concurrency=F.lit(start)), skipped)
         outcomes = made.select(*KEYS, "text_hash", "wav_path", "status", "error")
         done = self.save(rs.upsert(manifest, outcomes, KEYS), "manifest.new")
-        old = self.table_or_none("audio")
-        kept = made.where("status = 'done'").select(*KEYS, "wav_path", "audio")
-        every = kept if old is None else old.join(kept.select(*KEYS), KEYS, "left_anti").unionByName(kept)
-        self.save(self.save(every, "audio.all"), "audio")
+        # Audio is kept by its hash, so that a run adds files and rewrites none; the manifest says which hash counts.
+        writers.write_table(made.where("status = 'done'").select(*KEYS, "text_hash", "wav_path", "audio", F.left("text_hash", F.lit(2)).alias("part")), f"{self.out}/audio", "part", mode="append")
         self.save(done, "manifest")
-        n = F.lit(None)
-        self.emit(ev.event("chunk_done", chunk_id=F.col("chunk_id"), i=F.col("position"), n=n, latency_s=F.lit(0.0)), made.where("status = 'done'"))
-        self.emit(ev.event("chunk_failed", chunk_id=F.col("chunk_id"), i=F.col("position"), n=n, error=F.col("error")), made.where("status = 'failed'"))
-        return made.where("status = 'failed'").count()
+        named = made.join(size, ["book_id", "ordinal"])
+        self.emit(ev.event("chunk_done", chunk_id=F.col("chunk_id"), i=F.col("position"), n=F.col("n"), latency_s=F.col("latency_s"), concurrency=F.col("concurrency")), named.where("status = 'done'"))
+        self.emit(ev.event("chunk_failed", chunk_id=F.col("chunk_id"), i=F.col("position"), n=F.col("n"), error=F.col("error")), named.where("status = 'failed'"))
+        steps = made.select(F.inline("changes"))
+        self.emit(ev.event("concurrency_changed", from_=F.col("from"), to=F.col("to"), reason=F.col("reason")), steps)
+        failed = ct.failures(made, "position", F.col("chunk_id"))
+        self.save(failed.select(*KEYS, "chunk_id", "line"), "failures")
+        return failed.count()
 
     def stitch(self) -> None:
-        """Timelines and lists of the chapters whose audio is there; with --single-file, of whole books."""
+        """Timelines and lists of the chapters that have audio; with --single-file, of whole books.
+
+        A chunk's audio is that of the hash its manifest row has; one without is a row of `inputs` with `missing`, and in no list.
+        """
         gap = self.config["gaps"]
-        audio = self.table("audio").select(*KEYS, "wav_path", (wav_seconds(F.col("audio")) * 1000).cast("long").alias("duration_ms"))
-        rows = self.chosen(self.table("chunks")).join(audio, KEYS)
+        files = self.table("audio").groupBy("wav_path", "text_hash").agg(F.first("audio").alias("audio"))
+        files = files.select("wav_path", "text_hash", (wav_seconds(F.col("audio")) * 1000).cast("long").alias("duration_ms"))
+        valid = self.manifest().where("status = 'done'")
+        default = F.concat_ws("/", "book_id", F.concat("chunk_id", F.lit(".wav")))
+        inputs = rs.to_stitch(self.plan(), valid, KEYS, default).drop("missing").join(files, ["wav_path", "text_hash"], "left").withColumn("missing", F.col("duration_ms").isNull())
+        rows = self.save(inputs, "inputs", "book_id").where("not missing")
         rows = tl.gaps(rows, ["book_id", "ordinal"], ["position"], gap_ms=gap["chunk_gap_ms"], title_gap_ms=gap["title_gap_ms"], mid_paragraph_gap_ms=gap["mid_paragraph_gap_ms"])
         timeline = self.save(tl.offsets(rows, ["book_id", "ordinal"], ["position"]), "timeline", "book_id")
         parts = tl.segments(timeline, ["book_id", "ordinal"], ["position"], "wav_path")

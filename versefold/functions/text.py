@@ -1,7 +1,11 @@
-"""Text expressions: stripping, sentences, hashes, names. All are built-in functions, so they stay in generated code."""
+"""Text expressions: stripping, sentences, hashes, names. All but the walk over a WAV file are built-in functions, so they stay in generated code."""
 
 from __future__ import annotations
 
+import re
+import struct
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,24 +26,44 @@ _CLOSE, _OPEN = rf"[{CLOSERS}\]]", rf"{OPENERS}\["
 _UPPER = r"\p{Lu}\x{2160}-\x{216F}\x{24B6}-\x{24CF}"
 
 
+#: All blanks as one string, for trimming without a regular expression.
+_BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def clean(text: Column) -> Column:
     """A text without the marking noncharacters, lines ending in \\n; null is empty."""
     text = F.coalesce(text, F.lit(""))
-    text = F.translate(text, GUARD + CUT + PART + FIELD, "\ufffd" * 4)
-    return F.regexp_replace(text, "\r\n?", "\n")
+    marks = GUARD + CUT + PART + FIELD
+    text = F.when(text.rlike(f"[{marks}]"), F.translate(text, marks, "\ufffd" * 4)).otherwise(text)
+    return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{BLANK}]++|[{BLANK}]++\z", "")
+    return F.btrim(text, F.lit(_BLANKS))
+
+
+def _branches(words: tuple[str, ...]) -> str:
+    """An expression for any of the words that looks at each letter once; no word is tried after one that it begins with."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    ways = [re.escape(c) + _branches(tuple(rest)) for c, rest in heads.items() if c]
+    if "" in heads:
+        ways.append("")
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
 
 
 def sentences(text: Column) -> Column:
-    """A text's sentences. A run of .!? and closers ends one where blanks and a capital or opener follow, or nothing does, unless an abbreviation stands before it."""
-    known = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    guarded = F.regexp_replace(text, rf"(?<![^{BLANK}])([{_OPEN}]*+(?:{known})[{BLANK}]*+[.!?]++{_CLOSE}*+)", f"$1{GUARD}")
-    cut = F.regexp_replace(guarded, rf"([.!?]++{_CLOSE}*+)(?=[{BLANK}]+[{_UPPER}{_OPEN}]|[{BLANK}]*\z)", f"$1{CUT}")
-    pieces = F.transform(F.split(F.translate(cut, GUARD, ""), CUT, -1), strip)
-    return F.filter(pieces, lambda s: s != "")
+    """A text's sentences. A run of .!? and closers ends one where blanks and a capital or opener follow, or nothing does, unless an abbreviation stands before it.
+
+    Abbreviations get a mark that keeps the second pass from cutting after them. That pass takes the blanks along, so
+    only the whole text is stripped.
+    """
+    first = "".join(sorted({a[0] for a in ABBREVIATIONS}))
+    known = rf"(?=[{first}]){_branches(ABBREVIATIONS)}(?=[{BLANK}]*+[.!?])(?<=(?:^|[{BLANK}])[{_OPEN}]{{0,32}}+{_branches(ABBREVIATIONS)})[{BLANK}]*+[.!?]++{_CLOSE}*+"
+    guarded = F.regexp_replace(strip(text), known, f"$0{GUARD}")
+    cut = F.regexp_replace(guarded, rf"([.!?]++{_CLOSE}*+)[{BLANK}]++(?=[{_UPPER}{_OPEN}])", f"$1{CUT}")
+    return F.filter(F.split(F.replace(cut, F.lit(GUARD), F.lit("")), CUT, -1), lambda s: s != "")
 
 
 def split_long(sentence: Column, limit: int = 600) -> Column:
@@ -125,20 +149,53 @@ def retry_after(header: Column) -> Column:
     return header.try_cast("double")
 
 
-def silent_wav(duration_ms: Column, rate: int = 44100) -> Column:
-    """The bytes of a mono 16-bit PCM WAV file of silence."""
+def silent_wav(duration_ms: Column, rate: int = 44100, channels: int = 1, extra: bytes = b"") -> Column:
+    """The bytes of a 16-bit PCM WAV file of silence, with further chunks before the data if given."""
 
     def little(n: Column, size: int) -> Column:
         digits = F.lpad(F.hex(n), 2 * size, "0")
         return F.unhex(F.concat(*[F.substring(digits, 2 * k - 1, 2) for k in range(size, 0, -1)]))
 
-    size = (F.floor(F.lit(rate) * duration_ms / 1000.0) * 2).cast("long")
+    frame = 2 * channels
+    size = (F.floor(F.lit(rate) * duration_ms / 1000.0) * frame).cast("long")
     raw = lambda s: F.lit(s).cast("binary")
-    fmt = bytes.fromhex("10000000" "01000100") + rate.to_bytes(4, "little") + (2 * rate).to_bytes(4, "little") + bytes.fromhex("02001000")
-    return F.concat(raw("RIFF"), little(size + 36, 4), raw("WAVEfmt "), F.lit(fmt), raw("data"), little(size, 4), F.unhex(F.repeat(F.lit("00"), size.cast("int"))))
+    fmt = struct.pack("<IHHIIHH", 16, 1, channels, rate, frame * rate, frame, 16) + extra
+    return F.concat(raw("RIFF"), little(size + 36 + len(extra), 4), raw("WAVEfmt "), F.lit(fmt), raw("data"), little(size, 4), F.unhex(F.repeat(F.lit("00"), size.cast("int"))))
+
+
+def wav_fields(data: bytes | None) -> dict:
+    """What a WAV file says of itself, from a walk over its chunks: seconds, sample_rate, channels, sample_format; nulls for what isn't there."""
+    out = {"seconds": None, "sample_rate": None, "channels": None, "sample_format": None}
+    if data is None or len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        return out
+    at, rate = 12, 0
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        if name == b"fmt " and at + 24 <= len(data):
+            code, channels, sample_rate, rate, _, bits = struct.unpack_from("<HHIIHH", data, at + 8)
+            if code == 0xFFFE and size >= 40 and at + 34 <= len(data):
+                code = int.from_bytes(data[at + 32 : at + 34], "little")
+            sample = {(1, 8): "u8", (1, 16): "s16", (1, 24): "s24", (1, 32): "s32", (3, 32): "flt", (3, 64): "dbl"}.get((code, bits))
+            out |= {"sample_rate": sample_rate, "channels": channels, "sample_format": sample}
+        elif name == b"data":
+            if rate:
+                out["seconds"] = min(size, len(data) - at - 8) / rate
+            break
+        at += 8 + size + size % 2
+    return out
+
+
+def wav_info(wav: Column) -> Column:
+    """wav_fields as a struct. The walk's steps depend on sizes in the file, so it runs over Arrow batches."""
+
+    @F.pandas_udf("seconds double, sample_rate int, channels int, sample_format string")
+    def read(files: pd.Series) -> pd.DataFrame:
+        rows = [wav_fields(None if f is None else bytes(f)) for f in files]
+        return pd.DataFrame({k: pd.Series([r[k] for r in rows], dtype=kind) for k, kind in (("seconds", "float64"), ("sample_rate", "Int32"), ("channels", "Int32"), ("sample_format", "object"))})
+
+    return read(wav)
 
 
 def wav_seconds(wav: Column) -> Column:
-    """The playing time of a PCM WAV file, from its header."""
-    at = lambda k, n: F.conv(F.concat(*[F.hex(F.substring(wav, k + i, 1)) for i in range(n - 1, -1, -1)]), 16, 10).cast("double")
-    return at(41, 4) / at(29, 4)
+    """The playing time of a PCM WAV file."""
+    return wav_info(wav)["seconds"]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.chapters import chapter_title
 from ..functions.text import text_hash
-from ..schema import HARD_SPLIT_CHARS, MAX_CHARS, MIN_CHARS, TARGET_CHARS
 from .packing import pack_units
 from .segments import split_chapters, split_unit_sentences, split_units
 
@@ -16,31 +15,31 @@ def chunk_id(chapter_id: Column, position: Column) -> Column:
     return F.concat(chapter_id, F.lit("_"), F.format_string("%04d", position))
 
 
-def _records(pieces: DataFrame, keep: list[str], chapter: Column, position: Column) -> DataFrame:
-    return pieces.select(
-        *keep, chunk_id(chapter, position).alias("chunk_id"), position.alias("position"), "text", F.length("text").alias("char_count"),
+def _chunks(texts: DataFrame, text: str, keep: list[str], chapter: Column, title: Column | None, sizes: dict[str, int]) -> DataFrame:
+    units = split_unit_sentences(split_units(texts, text, keep, title=title))
+    pieces = pack_units(units, "sentences", [*keep, "unit_id"], title="unit_id", **sizes)
+    position = F.row_number().over(Window.partitionBy(*keep).orderBy("unit_id", "idx")) - 1
+    rows = pieces.withColumn("position", position.cast("int"))
+    return rows.select(
+        *keep, chunk_id(chapter, F.col("position")).alias("chunk_id"), "position", "text", F.length("text").alias("char_count"),
         text_hash(F.col("text")).alias("text_hash"), "kind", "boundary", "over_cap",
     )
 
 
-def build_chunks(texts: DataFrame, text: str, keep: list[str], chapter: Column, start: Column | None = None, *, target: int = TARGET_CHARS, cap: int = MAX_CHARS, least: int = MIN_CHARS, limit: int = HARD_SPLIT_CHARS) -> DataFrame:
-    """Chunk records of texts that are chapters; keep identifies a text. Positions count from start (0) within it."""
-    units = split_unit_sentences(split_units(texts.select(*keep, text), text, keep))
-    pieces = pack_units(units, "sentences", [*keep, "unit_id"], target=target, cap=cap, least=least, limit=limit)
-    within = Window.partitionBy(*keep).orderBy("unit_id", "idx")
-    position = F.row_number().over(within) - 1 + (F.lit(0) if start is None else start)
-    placed = pieces.withColumn("_position", position.cast("int"))
-    return _records(placed, keep, chapter, F.col("_position"))
+def build_chunks(texts: DataFrame, text: str, keep: list[str], chapter: Column, **sizes: int) -> DataFrame:
+    """Chunk records of texts that are chapters; keep identifies a text. Positions count from 0 within it. sizes: target, cap, least, limit."""
+    return _chunks(texts, text, keep, chapter, None, sizes)
 
 
 def book_chunks(books: DataFrame, text: str, keep: list[str], zero: str = "", **sizes: int) -> DataFrame:
-    """Chunk records of books, with ordinal: each chapter's title chunk at position 0, then its bodies; front matter has no title and starts at 0."""
+    """Chunk records of books, with ordinal: each chapter's title chunk at position 0, then its bodies; front matter has no title and starts at 0.
+
+    Titles and bodies come of one pass over the books.
+    """
     chapters = split_chapters(books, text, keep)
     ids = [*keep, "ordinal", "chapter_id", "number"]
-    bodies = build_chunks(chapters, "text", ids, F.col("chapter_id"), F.when(F.col("number").isNotNull(), 1).otherwise(0), **sizes)
-    headed = chapters.where(F.col("number").isNotNull()).select(*ids, chapter_title(F.col("number"), F.col("title"), zero).alias("text"))
-    titles = headed.withColumns({"kind": F.lit("title"), "boundary": F.lit("ends_section"), "over_cap": F.lit(False), "_position": F.lit(0)})
-    return _records(titles, ids, F.col("chapter_id"), F.col("_position")).unionByName(bodies)
+    title = F.when(F.col("number").isNotNull(), chapter_title(F.col("number"), F.col("title"), zero))
+    return _chunks(chapters, "text", ids, F.col("chapter_id"), title, sizes)
 
 
 def chunk_counts(chapters: DataFrame, chunks: DataFrame, keep: list[str]) -> DataFrame:

@@ -129,12 +129,16 @@ def courtesy_starts(arrivals: DataFrame, by: list[str], order: list[str], arriva
     return arrivals.withColumn("_i", i).withColumn("start_s", F.col("_i") * delay + slack).drop("_i")
 
 
-def ordered_results(outcomes: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, idx, result) for all indices up to each key's largest; null where a job failed or is missing."""
-    spans = outcomes.groupBy(*by).agg(F.max("idx").alias("_n")).select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long"))).alias("idx"))
-    return spans.join(outcomes.where("error is null").select(*by, F.col("idx").cast("long").alias("idx"), "result"), [*by, "idx"], "left")
-
-
-def failures(outcomes: DataFrame) -> DataFrame:
-    """The failed outcomes."""
-    return outcomes.where("error is not null")
+def ordered_results(outcomes: DataFrame, by: list[str], block: int = 1 << 16) -> DataFrame:
+    """(*by, idx, result) for all indices up to each key's largest; null where a job failed or is missing. Indices are made in blocks, so that a large one makes no long array."""
+    idx = F.col("idx").cast("long")
+    most = outcomes.groupBy(*by).agg(F.max(idx).alias("_n"))
+    blocks = most.select(*by, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_n") / block))).alias("_b"))
+    spans = blocks.select(*by, F.explode(F.sequence(F.col("_b") * block, F.least("_n", F.col("_b") * block + block - 1))).alias("idx"))
+    return spans.join(outcomes.where("error is null").select(*by, idx.alias("idx"), "result"), [*by, "idx"], "left")
+
+
+def failures(outcomes: DataFrame, idx: str = "idx", name: Column | None = None) -> DataFrame:
+    """The failed outcomes in order of idx, with the line that says so: `chunk <name> failed: <error>`, by idx unless a name is given."""
+    said = F.concat(F.lit("chunk "), (F.col(idx) if name is None else name).cast("string"), F.lit(" failed: "), F.col("error"))
+    return outcomes.where("error is not null").withColumn("line", said).orderBy(idx)

@@ -154,20 +154,24 @@ def greedy_pack(df: DataFrame, sentences: str, keep: list[str], *, target: int =
     return expand(df, [sentences], fn, out, keep)
 
 
-def pack_units(df: DataFrame, paragraphs: str, keep: list[str], *, target: int = TARGET_CHARS, cap: int = MAX_CHARS, least: int = MIN_CHARS, limit: int = HARD_SPLIT_CHARS, merge: bool = True, close: bool = True) -> DataFrame:
+def pack_units(df: DataFrame, paragraphs: str, keep: list[str], *, target: int = TARGET_CHARS, cap: int = MAX_CHARS, least: int = MIN_CHARS, limit: int = HARD_SPLIT_CHARS, merge: bool = True, close: bool = True, title: str | None = None) -> DataFrame:
     """A row (*keep, idx, text, over_cap, boundary, kind) for each piece of a unit, an array of paragraphs that are arrays of sentences.
 
-    close: the unit's last piece ends a section. merge: small pieces are joined with a neighbour.
+    close: the unit's last piece ends a section. merge: small pieces are joined with a neighbour. title: a column that
+    is below 0 for units that are titles, which stay as they are.
     """
 
-    def fn(unit: list[list[str]] | None) -> Iterator[tuple]:
+    def fn(unit: list[list[str]] | None, at: int = 0) -> Iterator[tuple]:
+        if at < 0:
+            yield 0, unit[0][0], False, SECTION, "title"
+            return
         pieces = [(t, len(t) > cap, b, "body") for t, b in packed_paragraphs(unit or [], target, cap, least, limit)]
         if close and pieces:
             pieces[-1] = (*pieces[-1][:2], SECTION, "body")
         for k, piece in enumerate(merged(pieces, least, cap) if merge else pieces):
             yield k, *piece
 
-    return expand(df, [paragraphs], fn, PIECE, keep)
+    return expand(df, [paragraphs, *([title] if title else [])], fn, PIECE, keep)
 
 
 def merge_small(df: DataFrame, items: str, keep: list[str], *, least: int = MIN_CHARS, cap: int = MAX_CHARS) -> DataFrame:

@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import speakable, tagged, text_hash
 
 
-def planned(chunks: DataFrame, tags: DataFrame | None, on: list[str]) -> DataFrame:
-    """chunks with tag, applied (the text that is spoken), text_hash over both, and speakable (of the text) and speakable_applied (of text and tag)."""
-    rows = chunks.join(tags, on, "left") if tags is not None else chunks.withColumn("tag", F.lit(None).cast("string"))
+def planned(chunks: DataFrame, tags: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
+    """chunks with applied (the text that is spoken), text_hash over text and tag, and speakable (of the text) and speakable_applied (of text and tag).
+
+    The tag is that of `tags` for the keys `on`, or, without such a table, the chunks' own column of that name (none: no tag).
+    """
+    if tags is not None:
+        rows = chunks.drop("tag").join(tags, on, "left")
+    else:
+        rows = chunks if "tag" in chunks.columns else chunks.withColumn("tag", F.lit(None).cast("string"))
     return rows.withColumns({"applied": tagged(F.col("text"), F.col("tag")), "text_hash": text_hash(F.col("text"), F.col("tag")), "speakable": speakable(F.col("text")), "speakable_applied": speakable(tagged(F.col("text"), F.col("tag")))})
 
 

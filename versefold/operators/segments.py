@@ -49,18 +49,24 @@ def paragraphs(unit: Column) -> Column:
     return F.filter(F.transform(F.split(unit, FIELD, -1), lambda p: F.array_join(lines(p), " ")), lambda p: p != "")
 
 
-def split_units(chapters: DataFrame, text: str = "text", keep: list[str] | None = None, normalised: bool = False) -> DataFrame:
+def split_units(chapters: DataFrame, text: str = "text", keep: list[str] | None = None, normalised: bool = False, title: Column | None = None) -> DataFrame:
     """A row (*keep, unit_id, paragraphs) for each packable unit.
 
     Units end at lines of *, - or em dashes only, at Markdown headings, and at two blank lines or more; such lines are
-    in no paragraph. One blank line ends a paragraph. Units without paragraphs are left out.
+    in no paragraph. One blank line ends a paragraph. Units without paragraphs are left out. A title, where it isn't
+    null, is a unit of one paragraph before them, with the id -1.
     """
     keep = keep if keep is not None else [c for c in chapters.columns if c != text]
     own = F.col(text) if normalised else clean(F.col(text))
-    units = chapters.select(*keep, F.posexplode(F.split(_units(own), CUT, -1)).alias("unit_id", "_u"))
-    return units.select(*keep, "unit_id", paragraphs(F.col("_u")).alias("paragraphs")).where(F.size("paragraphs") > 0)
+    parts = F.transform(F.split(_units(own), CUT, -1), lambda u, i: F.struct(i.alias("unit_id"), u.alias("_u")))
+    if title is not None:
+        head = F.filter(F.array(F.struct(F.lit(-1).alias("unit_id"), title.alias("_u"))), lambda x: x["_u"].isNotNull())
+        parts = F.concat(head, parts)
+    units = chapters.select(*keep, F.inline(parts))
+    whole = F.when(F.col("unit_id") < 0, F.array("_u")).otherwise(paragraphs(F.col("_u"))) if title is not None else paragraphs(F.col("_u"))
+    return units.select(*keep, "unit_id", whole.alias("paragraphs")).where(F.size("paragraphs") > 0)
 
 
 def split_unit_sentences(units: DataFrame) -> DataFrame:
-    """The units with `sentences`, an array of each paragraph's sentences."""
-    return units.withColumn("sentences", F.transform("paragraphs", sentences)).drop("paragraphs")
+    """The units with `sentences`, an array of each paragraph's sentences; a title stays whole."""
+    return units.withColumn("sentences", F.when(F.col("unit_id") < 0, F.transform("paragraphs", lambda p: F.array(p))).otherwise(F.transform("paragraphs", sentences)) if "unit_id" in units.columns else F.transform("paragraphs", sentences)).drop("paragraphs")

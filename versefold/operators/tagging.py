@@ -2,23 +2,50 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.tags import rejection
+from ..functions.tags import MALFORMED, NOT_ASKED, rejection
 from ..functions.text import preview
 from ..schema import TAG_ITEMS
 
 TagFn = Callable[[list[dict]], dict[str, str]]
 
 
+# The form of an answer that a backend is asked for.
+ANSWER_SCHEMA = {
+    "type": "object",
+    "properties": {"items": {"type": "array", "items": {"type": "object", "properties": {"chunk_id": {"type": "string"}, "tag": {"type": "string"}}, "required": ["chunk_id", "tag"]}}},
+    "required": ["items"],
+}
+
+
+def strict(schema: dict | list) -> dict | list:
+    """A copy of a JSON schema in which no object may have further members."""
+    if isinstance(schema, list):
+        return [strict(x) for x in schema]
+    if not isinstance(schema, dict):
+        return schema
+    out = {k: strict(v) for k, v in schema.items()}
+    return out | {"additionalProperties": False} if schema.get("type") == "object" else out
+
+
+@F.pandas_udf(T.StringType())
+def json_string(texts: pd.Series) -> pd.Series:
+    """A text as a JSON string in ASCII. to_json leaves other characters as they are, and escaping them one by one in expressions takes ten times as long as this."""
+    return texts.map(lambda t: None if t is None else json.dumps(t))
+
+
 def tag_prompt(chunks: DataFrame, keep: list[str]) -> DataFrame:
-    """A JSON array of {chunk_id, text} for each batch."""
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("position", "chunk_id", "text"))), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["text"].alias("text")))
-    return chunks.groupBy(*keep).agg(F.to_json(rows).alias("prompt"))
+    """(*keep, prompt): a line {"chunk_id": ..., "text": ...} for each chunk of a batch, in brackets. Fixed form; texts are in ASCII."""
+    line = F.concat(F.lit('{"chunk_id": "'), F.col("chunk_id"), F.lit('", "text": '), json_string(F.col("text")), F.lit("}"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("position", "chunk_id", line.alias("l")))), lambda x: x["l"])
+    return chunks.groupBy(*keep).agg(F.concat(F.lit("[\n  "), F.array_join(rows, ",\n  "), F.lit("\n]")).alias("prompt"))
 
 
 def parse_response(responses: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -33,8 +60,8 @@ def validate_response(items: DataFrame, chunks: DataFrame, keep: list[str]) -> D
     known = chunks.select(*keep, "chunk_id", F.col("text").alias("_text"))
     joined = items.join(known, [*keep, "chunk_id"], "left")
     reason = (
-        F.when((F.coalesce("chunk_id", F.lit("")) == "") | F.col("tag").isNull(), "malformed item (missing chunk_id or tag)")
-        .when(F.col("_text").isNull(), "unknown chunk_id (not in requested batch)")
+        F.when((F.coalesce("chunk_id", F.lit("")) == "") | F.col("tag").isNull(), MALFORMED)
+        .when(F.col("_text").isNull(), NOT_ASKED)
         .otherwise(rejection(F.col("tag"), F.col("_text")))
     )
     return joined.select(*keep, "item", "chunk_id", "tag", reason.alias("reason"))
@@ -52,17 +79,27 @@ def merge_tags(*maps: DataFrame, on: list[str]) -> DataFrame:
     for k, m in enumerate(maps):
         part = m.select(*on, "tag", F.lit(k).alias("_k"))
         every = part if every is None else every.unionByName(part)
-    return every.groupBy(*on).agg(F.max_by("tag", "_k").alias("tag"))
+    return merged(every, on, "_k")
+
+
+def merged(rows: DataFrame, on: list[str], order: str) -> DataFrame:
+    """(*on, tag): of a key's tags that of the largest order."""
+    return rows.groupBy(*on).agg(F.max_by("tag", order).alias("tag"))
+
+
+def with_tags(chunks: DataFrame, tags: DataFrame, on: list[str]) -> DataFrame:
+    """chunks with the tag of a table of accepted ones, null where there is none."""
+    return chunks.drop("tag").join(tags.select(*on, "tag"), on, "left")
 
 
-def review(chunks: DataFrame, tags: DataFrame, on: list[str], n: int = 60) -> DataFrame:
-    """(*on, text_preview, tag) of all chunks; tag is null where none was accepted."""
-    return chunks.join(tags, on, "left").select(*on, preview(F.col("text"), n).alias("text_preview"), "tag")
+def review(chunks: DataFrame, on: list[str], n: int = 60) -> DataFrame:
+    """(*on, text_preview, tag) of all chunks (with tag, null where none was accepted)."""
+    return chunks.select(*on, preview(F.col("text"), n).alias("text_preview"), "tag")
 
 
-def coverage(chunks: DataFrame, tags: DataFrame, on: list[str], by: list[str], rejected: DataFrame | None = None) -> DataFrame:
-    """(*by, tagged_count, dropped_count): dropped are all chunks without a tag, rejected or never proposed."""
-    return chunks.join(tags, on, "left").groupBy(*by).agg(F.count_if(F.col("tag").isNotNull()).alias("tagged_count"), F.count_if(F.col("tag").isNull()).alias("dropped_count"))
+def coverage(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, tagged_count, dropped_count) of chunks with tag: dropped are all without one, rejected or never proposed."""
+    return chunks.groupBy(*by).agg(F.count_if(F.col("tag").isNotNull()).alias("tagged_count"), F.count_if(F.col("tag").isNull()).alias("dropped_count"))
 
 
 def latest_tags(rows: DataFrame, on: list[str], order: str) -> DataFrame:

@@ -63,14 +63,14 @@ def concat_list(parts: DataFrame, by: list[str], order: list[str], path: str = "
 
 # What an external encoder is told about sound.
 LOUDNESS, ENCODING = "loudnorm=I=-19:TP=-3.0:LRA=11", ("-c:a", "libmp3lame", "-b:a", "128k", "-ar", "44100", "-ac", "1")
+JOIN_ARGUMENTS = ("-y", "-f", "concat", "-safe", "0", "-i")
 CLIP_SECONDS, CLIP_CLEANING, CLIP_ENCODING = 30.0, "highpass=f=80,afftdn", ("-ar", "44100", "-ac", "1", "-c:a", "pcm_s16le")
 
 
 def encoder_arguments(list_path: Column, out_path: Column, normalise: bool = False) -> Column:
     """The arguments with which an external encoder joins the segments of a list."""
-    words = ["-y", "-f", "concat", "-safe", "0", "-i"]
     after = (["-af", LOUDNESS] if normalise else []) + list(ENCODING)
-    return F.array(*[F.lit(w) for w in words], list_path, *[F.lit(w) for w in after], out_path)
+    return F.array(*[F.lit(w) for w in JOIN_ARGUMENTS], list_path, *[F.lit(w) for w in after], out_path)
 
 
 def clip_arguments(source: str, target: str, start: float | None = None, duration: float | None = None, clean: bool = False) -> list[str]:

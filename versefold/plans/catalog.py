@@ -6,6 +6,7 @@ the lines and `CHAPTER N.5` over the rest, lines apart by a blank line and every
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +24,8 @@ from ..operators import segments as sg
 from ..operators import tagging as ta
 from ..operators import timeline as tl
 from ..schema import EVENT
+from ..sources.readers import reference_faults
+from ..sources.tables import table
 from . import twins as tw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,10 +42,6 @@ def query(twin: str | None = None) -> Callable:
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -108,6 +107,17 @@ def greedy_pack(spark, sf_dir):
     return pieces(spark, sf_dir).select("doc_id", "idx", "text", (F.length("text") > 300).alias("over_cap"), tx.text_hash(F.col("text")).alias("text_hash"))
 
 
+_CUT = tw.SIMPLE.replace(", grow AS", f""", doc_cut AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, hi) AS i, h AS s FROM (SELECT doc_id, i, unnest(range(len(hs))) AS hi, unnest(hs) AS h FROM (SELECT doc_id, i, {tw.halves('s', 120)} AS hs FROM doc_sents))
+), grow AS""", 1).replace("FROM doc_sents\n  UNION", "FROM doc_cut\n  UNION").replace("JOIN doc_sents s", "JOIN doc_cut s")
+
+
+@query(tw.chain(_CUT) + "SELECT doc_id, idx, text, length(text) > 300 AS over_cap FROM pieces")
+def greedy_pack_cut(spark, sf_dir):
+    sents = documents(spark, sf_dir).select("doc_id", tx.sentences(tx.clean(F.col("text"))).alias("s"))
+    return pk.greedy_pack(sents, "s", ["doc_id"], limit=120)
+
+
 @query(tw.chain(tw.SIMPLE) + "SELECT doc_id, idx, length(text)::INT AS char_count FROM pieces WHERE length(text) > 300")
 def over_cap_chunks(spark, sf_dir):
     sents = documents(spark, sf_dir).select("doc_id", tx.sentences(tx.clean(F.col("text"))).alias("s"))
@@ -201,18 +211,18 @@ def chapter_select(spark, sf_dir):
     return rows.where(ch.selected(F.col("chapter_id"), "ch07-12") | ch.selected(F.col("chapter_id"), "CH100, ch200")).select("book_id", "ordinal", "chapter_id")
 
 
-@query(r"""WITH d AS (SELECT doc_id, left(coalesce(text, ''), 40) AS stem FROM documents)
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS stem FROM documents)
 SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(stem, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'book') AS slug FROM d""")
 def slug(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", tx.slug(F.left("text", F.lit(40))).alias("slug"))
+    return documents(spark, sf_dir).select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, source, left(coalesce(text, ''), 30) || '?' AS title FROM documents), s AS (
+@query(r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') || '?' AS title FROM documents), s AS (
   SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(source, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'untitled') AS b,
          coalesce(nullif(regexp_replace(regexp_replace(title, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'untitled') AS t FROM d)
 SELECT doc_id, b || '/Chapter ' || lpad((doc_id % 100)::VARCHAR, 2, '0') || ' - ' || t || '.mp3' AS path FROM s""")
 def safe_filename(spark, sf_dir):
-    title = F.concat(F.left("text", F.lit(30)), F.lit("?"))
+    title = F.concat("text", F.lit("?"))
     return documents(spark, sf_dir).select("doc_id", tx.chapter_path(F.col("source"), (F.col("doc_id") % 100).cast("int"), title).alias("path"))
 
 
@@ -260,24 +270,21 @@ def tag_echo(spark, sf_dir):
 
 @query(tw.chain(_CANDIDATES) + f"SELECT doc_id, count_if({_REASON} IS NULL)::BIGINT AS tagged_count, count_if({_REASON} IS NOT NULL)::BIGINT AS dropped_count FROM candidates GROUP BY doc_id")
 def tag_coverage(spark, sf_dir):
-    rows = candidates(spark, sf_dir)
-    good = rows.where(tg.rejection(F.col("tag"), F.col("text")).isNull()).select("doc_id", "idx", "tag")
-    return ta.coverage(rows.drop("tag"), good, ["doc_id", "idx"], ["doc_id"])
+    return ta.coverage(_tagged(spark, sf_dir), ["doc_id"])
 
 
 @query(tw.chain(_CANDIDATES) + f"SELECT doc_id, idx, left(text, 60) AS text_preview, CASE WHEN {_REASON} IS NULL THEN tag END AS tag FROM candidates")
 def tag_review(spark, sf_dir):
-    rows = candidates(spark, sf_dir)
-    good = rows.where(tg.rejection(F.col("tag"), F.col("text")).isNull()).select("doc_id", "idx", "tag")
-    return ta.review(rows.drop("tag"), good, ["doc_id", "idx"])
+    tags = _tagged(spark, sf_dir).where("tag is not null")
+    return ta.review(ta.with_tags(pieces(spark, sf_dir), tags, ["doc_id", "idx"]), ["doc_id", "idx"])
 
 
 @query(tw.chain(_CANDIDATES) + f"""SELECT doc_id, idx, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'stern' END, CASE WHEN {_REASON} IS NULL THEN tag END) AS tag FROM candidates WHERE doc_id % 3 = 0 OR {_REASON} IS NULL""")
 def tag_merge(spark, sf_dir):
-    rows = candidates(spark, sf_dir)
-    good = rows.where(tg.rejection(F.col("tag"), F.col("text")).isNull()).select("doc_id", "idx", "tag")
-    later = rows.where("doc_id % 3 = 0").select("doc_id", "idx", F.lit("stern").alias("tag"))
-    return ta.merge_tags(good, later, on=["doc_id", "idx"])
+    later = F.when(F.col("doc_id") % 3 == 0, "stern")
+    both = F.array(F.struct(F.lit(0).alias("k"), F.col("tag")), F.struct(F.lit(1).alias("k"), later.alias("tag")))
+    rows = _tagged(spark, sf_dir).select("doc_id", "idx", F.inline(both)).where("tag is not null")
+    return ta.merged(rows, ["doc_id", "idx"], "k")
 
 
 @query(tw.chain(_CANDIDATES) + f"""SELECT doc_id, idx AS item, CASE WHEN doc_id % 11 = 0 THEN 'x' WHEN idx % 9 = 5 THEN NULL ELSE idx::VARCHAR END AS chunk_id, tag,
@@ -292,12 +299,22 @@ def tag_response(spark, sf_dir):
     return ta.validate_response(parsed, rows.drop("tag"), ["doc_id"]).select("doc_id", "item", "chunk_id", "tag", "reason")
 
 
-@query(tw.chain(tw.SIMPLE) + "SELECT doc_id, '[' || string_agg('{\"chunk_id\":\"' || idx || '\",\"text\":' || to_json(text)::VARCHAR || '}', ',' ORDER BY idx) || ']' AS prompt FROM pieces GROUP BY doc_id")
+_U16 = "'\\u' || lower(lpad(to_hex({0}), 4, '0'))".replace("\\\\", "\\")
+_ASCII = f"""array_to_string(list_transform(string_split(to_json(text)::VARCHAR, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN {_U16.format('unicode(c)')}
+  ELSE {_U16.format('55232 + unicode(c) // 1024')} || {_U16.format('56320 + unicode(c) % 1024')} END), '')"""
+
+
+@query(tw.chain(tw.SIMPLE) + f"""SELECT doc_id, '[' || chr(10) || '  ' || string_agg('{{"chunk_id": "' || idx || '", "text": ' || {_ASCII} || '}}', ',' || chr(10) || '  ' ORDER BY idx) || chr(10) || ']' AS prompt FROM pieces GROUP BY doc_id""")
 def tag_prompt(spark, sf_dir):
     rows = pieces(spark, sf_dir).select("doc_id", F.col("idx").alias("position"), F.col("idx").cast("string").alias("chunk_id"), "text")
     return ta.tag_prompt(rows, ["doc_id"])
 
 
+@query("""SELECT '{"type": "object", "properties": {"items": {"type": "array", "items": {"type": "object", "properties": {"chunk_id": {"type": "string"}, "tag": {"type": "string"}}, "required": ["chunk_id", "tag"], "additionalProperties": false}}}, "required": ["items"], "additionalProperties": false}' AS schema""")
+def answer_schema(spark, sf_dir):
+    return spark.range(1).select(F.lit(json.dumps(ta.strict(ta.ANSWER_SCHEMA))).alias("schema"))
+
+
 # -- incremental work
 
 
@@ -308,10 +325,13 @@ _PLAN = _CANDIDATES + f""", plan AS (
 )"""
 
 
+def _tagged(spark, sf_dir):
+    """Pieces with their candidate tag where it is accepted, else null."""
+    return candidates(spark, sf_dir).withColumn("tag", F.when(tg.rejection(F.col("tag"), F.col("text")).isNull(), F.col("tag")))
+
+
 def _plan(spark, sf_dir):
-    rows = candidates(spark, sf_dir)
-    good = rows.where(tg.rejection(F.col("tag"), F.col("text")).isNull()).select("doc_id", "idx", "tag")
-    return rs.planned(rows.drop("tag"), good, ["doc_id", "idx"])
+    return rs.planned(_tagged(spark, sf_dir))
 
 
 def _manifest(plan):
@@ -368,7 +388,7 @@ def retag_invalidate(spark, sf_dir):
 
 @query(tw.chain(_CANDIDATES) + "SELECT doc_id, idx, regexp_matches(text, '[A-Za-z0-9]') AS speakable, regexp_matches(CASE WHEN coalesce(tag, '') <> '' THEN '[' || tag || '] ' || text ELSE text END, '[A-Za-z0-9]') AS speakable_applied FROM candidates")
 def speakable(spark, sf_dir):
-    rows = rs.planned(candidates(spark, sf_dir).drop("tag"), candidates(spark, sf_dir).select("doc_id", "idx", "tag"), ["doc_id", "idx"])
+    rows = rs.planned(candidates(spark, sf_dir))
     return rows.select("doc_id", "idx", "speakable", "speakable_applied")
 
 
@@ -388,10 +408,28 @@ def diagnostics(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", tx.compact(F.col("text")).alias("diagnostic"))
 
 
-@query("SELECT n, '52494646' AS head, 44 + 2 * (44100 * n // 1000) AS bytes FROM (SELECT unnest(range(0, 500, 50))::INT AS n)")
+def _little(x: str) -> str:
+    """Four bytes in hexadecimal, the least first."""
+    return " || ".join(f"substr(lpad(to_hex({x}), 8, '0'), {k}, 2)" for k in (7, 5, 3, 1))
+
+
+@query(f"""SELECT n, upper('52494646' || {_little('36 + d')} || '57415645666d7420100000000100010044ac000088580100020010006461746' || '1' || {_little('d')} || repeat('00', d::INT)) AS wav
+FROM (SELECT n, 2 * (44100 * n // 1000) AS d FROM (SELECT unnest(range(0, 500, 50))::INT AS n))""")
 def silent_wav(spark, sf_dir):
-    wav = tx.silent_wav(F.col("id"))
-    return spark.range(0, 500, 50).select(F.col("id").cast("int").alias("n"), F.hex(F.substring(wav, 1, 4)).alias("head"), F.octet_length(wav).cast("long").alias("bytes"))
+    return spark.range(0, 500, 50).select(F.col("id").cast("int").alias("n"), F.hex(tx.silent_wav(F.col("id"))).alias("wav"))
+
+
+@query("""WITH c AS (SELECT event_id, event_id % 400 AS ms, CASE WHEN event_id % 4 = 1 THEN 22050 ELSE 44100 END AS sample_rate, CASE WHEN event_id % 6 = 2 THEN 2 ELSE 1 END AS channels FROM events WHERE event_id % 50 < 12)
+SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE round(floor(sample_rate * ms / 1000.0) / sample_rate, 6) END AS seconds, CASE WHEN event_id % 50 > 0 THEN sample_rate END AS sample_rate, CASE WHEN event_id % 50 > 0 THEN channels END AS channels,
+  CASE WHEN event_id % 50 > 0 THEN 's16' END AS sample_format, CASE WHEN event_id % 50 = 0 THEN 'no sound that can be read' WHEN sample_rate <> 44100 THEN 'not at 44100 Hz' WHEN channels <> 1 THEN 'not mono' END AS fault FROM c""")
+def clip_metadata(spark, sf_dir):
+    """Clips of two rates and one or two channels, with a chunk before the data that a fixed header wouldn't expect, read back and checked."""
+    e = F.col("event_id")
+    odd = b"LIST\x03\x00\x00\x00abc\x00"
+    ways = [F.when((e % 4 == 1) == (rate == 22050), F.when((e % 6 == 2) == (n == 2), tx.silent_wav(e % 400, rate, n, odd))) for rate in (22050, 44100) for n in (1, 2)]
+    clips = table(spark, sf_dir, "events").where(e % 50 < 12).select("event_id", F.when(e % 50 == 0, F.lit("RIFF").cast("binary")).otherwise(F.coalesce(*ways)).alias("audio"))
+    rows = clips.select("event_id", tx.wav_info(F.col("audio")).alias("i")).select("event_id", "i.*")
+    return reference_faults(rows).withColumn("seconds", F.round("seconds", 6))
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'server' WHEN 4 THEN 'server' ELSE 'other' END AS class FROM events""")
@@ -506,10 +544,10 @@ def ramp_trace(spark, sf_dir):
     return ct.trace(outcomes(spark, sf_dir), "user_id", ["seq"], ramp_up=True).select("event_id", "target", "streak")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN value ELSE [2.0, 4.0, 8.0][(least(event_id % 5, 2) + 1)::INT] END::DOUBLE AS wait_s FROM events")
+@query("""SELECT event_id, coalesce(CASE event_id % 7 WHEN 0 THEN value WHEN 1 THEN 30 END, [2.0, 4.0, 8.0][(least(event_id % 5, 2) + 1)::INT])::DOUBLE AS wait_s FROM events""")
 def backoff_plan(spark, sf_dir):
-    asked = F.when(F.col("event_id") % 7 == 0, F.col("value"))
-    return table(spark, sf_dir, "events").select("event_id", tx.backoff_seconds(F.col("event_id") % 5, asked).alias("wait_s"))
+    header = F.when(F.col("event_id") % 7 == 0, F.col("value").cast("string")).when(F.col("event_id") % 7 == 1, "30").when(F.col("event_id") % 7 == 2, "Wed, 21 Oct 2026 07:28:00 GMT")
+    return table(spark, sf_dir, "events").select("event_id", tx.backoff_seconds(F.col("event_id") % 5, tx.retry_after(header)).alias("wait_s"))
 
 
 @query(tw.chain(tw.OUTCOMES) + ", a AS (SELECT *, (seq + 2) // 3 AS job, (seq + 2) % 3 AS attempt FROM outcomes) SELECT user_id, job::BIGINT AS job, max(attempt)::BIGINT AS attempts, CASE WHEN arg_max(coalesce(error, ''), attempt) = '' THEN 'done' ELSE 'failed' END AS status FROM a GROUP BY user_id, job")
@@ -537,12 +575,30 @@ def failure_summary(spark, sf_dir):
     return outcomes(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if(F.col("error").isNull()).alias("succeeded"))
 
 
-@query(tw.chain(tw.OUTCOMES) + """SELECT event_id, CASE WHEN error IS NULL THEN '{"event":"chunk_done","chunk_id":"ch' || user_id || '_' || seq || '","i":' || seq || ',"n":99,"concurrency":3}' ELSE '{"event":"chunk_failed","chunk_id":"ch' || user_id || '_' || seq || '","i":' || seq || ',"n":99,"error":"' || error || '"}' END AS line FROM outcomes""")
+@query(tw.chain(tw.OUTCOMES) + "SELECT user_id, seq, 'chunk ' || seq || ' failed: ' || error AS line FROM outcomes WHERE error IS NOT NULL ORDER BY seq")
+def failure_lines(spark, sf_dir):
+    return ct.failures(outcomes(spark, sf_dir), "seq").select("user_id", "seq", "line")
+
+
+@query(tw.chain(tw.OUTCOMES) + """, k AS (SELECT *, 'ch' || user_id AS ch, 'ch' || user_id || '_' || seq AS cid FROM outcomes)
+SELECT event_id, CASE event_id % 9 WHEN 0 THEN '{"event":"run_started","book":"b' || user_id || '","chapters":["' || ch || '"],"tagger":null}' WHEN 1 THEN '{"event":"chunked","chapter_id":"' || ch || '","chunk_count":' || seq || '}'
+  WHEN 2 THEN '{"event":"tagged","chapter_id":"' || ch || '","tagged_count":' || seq || ',"dropped_count":0}' WHEN 3 THEN '{"event":"concurrency_changed","from":3,"to":2,"reason":"429 received"}' WHEN 4 THEN '{"event":"stitched","chapter_id":"' || ch || '","path":"a/b.mp3","duration_s":1.5}'
+  WHEN 5 THEN '{"event":"done","book":"b' || user_id || '","chapters_done":' || seq || ',"failed_chunks":0}' WHEN 6 THEN '{"event":"error","message":"no \\"chapter\\""}' WHEN 7 THEN '{"event":"chunk_done","chunk_id":"' || cid || '","i":' || seq || ',"n":99,"concurrency":3}'
+  ELSE '{"event":"chunk_failed","chunk_id":"' || cid || '","i":' || seq || ',"n":99,"error":' || CASE WHEN error IS NULL THEN 'null' ELSE '"' || error || '"' END || '}' END AS line FROM k""")
 def event_ndjson(spark, sf_dir):
-    cid = F.concat(F.lit("ch"), F.col("user_id").cast("string"), F.lit("_"), F.col("seq").cast("string"))
-    done = ev.line("chunk_done", chunk_id=cid, i=F.col("seq"), n=F.lit(99), concurrency=F.lit(3))
-    failed = ev.line("chunk_failed", chunk_id=cid, i=F.col("seq"), n=F.lit(99), error=F.col("error"))
-    return outcomes(spark, sf_dir).select("event_id", F.when(F.col("error").isNull(), done).otherwise(failed).alias("line"))
+    """A line of each of the nine kinds."""
+    user, seq = F.col("user_id").cast("string"), F.col("seq")
+    chapter, book = F.concat(F.lit("ch"), user), F.concat(F.lit("b"), user)
+    cid = F.concat(chapter, F.lit("_"), seq.cast("string"))
+    lines = [
+        ev.line("run_started", book=book, chapters=F.array(chapter), tagger=F.lit(None).cast("string")), ev.line("chunked", chapter_id=chapter, chunk_count=seq), ev.line("tagged", chapter_id=chapter, tagged_count=seq, dropped_count=F.lit(0)),
+        ev.line("concurrency_changed", from_=F.lit(3), to=F.lit(2), reason=F.lit("429 received")), ev.line("stitched", chapter_id=chapter, path=F.lit("a/b.mp3"), duration_s=F.lit(1.5)),
+        ev.line("done", book=book, chapters_done=seq, failed_chunks=F.lit(0)), ev.line("error", message=F.lit('no "chapter"')), ev.line("chunk_done", chunk_id=cid, i=seq, n=F.lit(99), concurrency=F.lit(3)), ev.line("chunk_failed", chunk_id=cid, i=seq, n=F.lit(99), error=F.col("error")),
+    ]
+    line = lines[8]
+    for k in range(7, -1, -1):
+        line = F.when(F.col("event_id") % 9 == k, lines[k]).otherwise(line)
+    return outcomes(spark, sf_dir).select("event_id", line.alias("line"))
 
 
 @query(tw.chain(tw.OUTCOMES) + "SELECT 'ch' || user_id AS chapter_id, count_if(error IS NULL)::BIGINT AS done, count_if(error IS NOT NULL)::BIGINT AS failed, round(sum(CASE WHEN error IS NULL THEN latency_s END), 4) AS seconds FROM outcomes GROUP BY user_id")
@@ -562,8 +618,6 @@ def target_clamp(spark, sf_dir):
 @query("""WITH c AS (SELECT event_id, value AS seconds, CASE WHEN event_id % 4 = 1 THEN 22050 ELSE 44100 END AS sample_rate, CASE WHEN event_id % 6 = 2 THEN 2 ELSE 1 END AS channels, CASE WHEN event_id % 10 = 3 THEN 'fltp' ELSE 's16' END AS f FROM events)
 SELECT event_id, CASE WHEN seconds > 30.5 THEN 'longer than 30.5 s' WHEN sample_rate <> 44100 THEN 'not at 44100 Hz' WHEN channels <> 1 THEN 'not mono' WHEN f <> 's16' THEN 'not 16-bit' END AS fault FROM c""")
 def reference_clips(spark, sf_dir):
-    from ..sources.readers import reference_faults
-
     e = F.col("event_id")
     rows = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("seconds"), F.when(e % 4 == 1, 22050).otherwise(44100).alias("sample_rate"), F.when(e % 6 == 2, 2).otherwise(1).alias("channels"), F.when(e % 10 == 3, "fltp").otherwise("s16").alias("sample_format"))
     return reference_faults(rows).select("event_id", "fault")

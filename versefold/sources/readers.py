@@ -7,19 +7,30 @@ import os
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, slug, wav_seconds
+from ..functions.text import clean, slug, wav_info
 from ..operators.tagging import latest_tags
-from ..schema import CHAPTERS_FILE, EVENT, MANIFEST_FILE, TAG_REVIEW, TIMEOUT_S
+from ..schema import ATTEMPTS, CHAPTERS_FILE, COURTESY_S, EVENT, MANIFEST_FILE, TAG_REVIEW, TIMEOUT_S
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """(book_id, path, text) of UTF-8 text files, one book each; a name is a slug of the file's stem."""
-    rows = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    stem = F.regexp_replace(F.substring_index(F.url_decode("path"), "/", -1), r"\.[^.]*$", "")
-    return rows.select(slug(stem).alias("book_id"), "path", clean(F.col("value")).alias("text"))
+    """(book_id, path, text) of UTF-8 text files, one book each; a name is a slug of the file's stem.
+
+    Where files of several folders give one name, each gets a hash of its folder behind it.
+    """
+
+    def name(full: Column) -> Column:
+        return slug(F.regexp_replace(F.substring_index(full, "/", -1), r"\.[^.]*$", ""))
+
+    # File names alone: the files' contents aren't read for it.
+    listed = spark.read.format("binaryFile").load(path).select(name(F.col("path")).alias("_name"))
+    shared = listed.groupBy("_name").agg(F.count("*").alias("_n")).where("_n > 1")
+    plain = F.url_decode("path")
+    rows = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name()).withColumn("_name", name(plain)).join(shared, "_name", "left")
+    book = F.when(F.col("_n").isNull(), F.col("_name")).otherwise(F.concat("_name", F.lit("-"), F.left(F.sha2(F.regexp_replace(plain, "/[^/]*$", ""), 256), F.lit(8))))
+    return rows.select(book.alias("book_id"), "path", clean(F.col("value")).alias("text"))
 
 
 def _whole_json(spark: SparkSession, path: str, schema: Any) -> DataFrame:
@@ -61,8 +72,8 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reference(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, audio, seconds, transcript) of the WAV clips of a folder; a .txt of the same stem is the transcript."""
-    clips = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path", F.col("content").alias("audio"), wav_seconds(F.col("content")).alias("seconds"))
+    """(path, audio, seconds, sample_rate, channels, sample_format, transcript) of the WAV clips of a folder; a .txt of the same stem is the transcript."""
+    clips = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path", F.col("content").alias("audio"), wav_info(F.col("content")).alias("_i")).select("path", "audio", "_i.*")
     texts = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select(F.regexp_replace("path", r"\.txt$", ".wav").alias("path"), F.trim(F.decode("content", "utf-8")).alias("transcript"))
     return clips.join(texts, "path", "left")
 
@@ -70,7 +81,7 @@ def read_reference(spark: SparkSession, folder: str) -> DataFrame:
 def reference_faults(clips: DataFrame) -> DataFrame:
     """clips (seconds, sample_rate, channels, sample_format) with fault: why one can't serve as a reference, else null."""
     fault = (
-        F.when(F.col("seconds") > 30.5, "longer than 30.5 s").when(F.col("sample_rate") != 44100, "not at 44100 Hz").when(F.col("channels") != 1, "not mono").when(F.col("sample_format") != "s16", "not 16-bit")
+        F.when(F.col("seconds").isNull(), "no sound that can be read").when(F.col("seconds") > 30.5, "longer than 30.5 s").when(F.col("sample_rate") != 44100, "not at 44100 Hz").when(F.col("channels") != 1, "not mono").when(F.col("sample_format") != "s16", "not 16-bit")
     )
     return clips.withColumn("fault", fault)
 
@@ -89,6 +100,7 @@ DEFAULTS: dict[str, Any] = {
     "gaps": {"chunk_gap_ms": 900, "title_gap_ms": 3000, "chapter_gap_ms": 2000, "mid_paragraph_gap_ms": None},
     "concurrency": {"start": 3, "ramp_up": False},
     "tagging": {"backend": "none"},
+    "calls": {"attempts": ATTEMPTS, "courtesy_delay_s": COURTESY_S},
     "timeout_s": TIMEOUT_S,
 }
 

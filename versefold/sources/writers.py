@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import silent_wav, speakable
+from ..operators.calls import Limits, call_all
 from ..operators.eventlog import scrubbed
 from ..operators.resume import upsert
 from ..schema import CHUNK, EVENT
 
 
-def write_table(df: DataFrame, path: str, *by: str) -> None:
-    """Parquet, in a folder for each value of `by`; the committer shows all files or none."""
-    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+def write_table(df: DataFrame, path: str, *by: str, mode: str = "overwrite") -> None:
+    """Parquet, in a folder for each value of `by`; the committer shows all files or none. The mode `replace` writes over the folders that df has rows for and leaves the others."""
+    how = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") if mode == "replace" else df.write.mode(mode)
+    how.partitionBy(*by).parquet(path)
 
 
 def nested_chapters(chapters: DataFrame, chunks: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
@@ -42,12 +44,14 @@ def write_review(review: DataFrame, path: str, *by: str) -> None:
     review.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy(*by).json(path)
 
 
-def upsert_batches(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], on: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each micro-batch of outcomes (the last of a key) is put into the manifest."""
+def upsert_batches(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], on: list[str], order: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each micro-batch of outcomes is put into the manifest; of a key's several, the one of the largest order."""
 
     def fn(batch: DataFrame, _: int) -> None:
         old = read()
-        write(upsert(old, batch.dropDuplicates(on), on))
+        rest = [c for c in batch.columns if c not in on]
+        last = batch.groupBy(*on).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*on, *[F.col(f"_r.`{c}`") for c in rest])
+        write(upsert(old, last, on))
 
     return fn
 
@@ -63,29 +67,40 @@ def write_lists(lists: DataFrame, path: str, *by: str) -> None:
     lists.withColumnRenamed("list", "value").write.mode("overwrite").partitionBy(*by).option("lineSep", "").text(path)
 
 
-def render(plan: DataFrame, synthesise: Callable[[str], bytes], on: list[str], silence_ms: int = 200) -> DataFrame:
-    """(*on, audio, status, error): silence for what can't be spoken, else what a callable makes of the applied text.
+def render(plan: DataFrame, synthesise: Callable[[str], bytes], on: list[str], silence_ms: int = 200, limits: Limits | None = None, tasks: int = 1) -> DataFrame:
+    """(*on, audio, status, error, attempts, latency_s, concurrency, changes): silence for what can't be spoken, else what a callable makes of the applied text.
 
-    The callable runs in the tasks. An empty answer is an error; an error fails the row, not the job.
+    The callable runs in `tasks` tasks, each with a pool of its own under `limits` (a service with one limit for all
+    takes one task, which is the default). Calls that fail are tried again; an empty answer is an error; an error fails
+    the row, not the job. changes are the controller's steps (from, to, reason) before the row.
     """
-    schema = ", ".join(f"{c} {dict(plan.dtypes)[c]}" for c in on) + ", audio binary, status string, error string"
+    own = ", audio binary, status string, error string, attempts int, latency_s double, concurrency int, changes array<struct<`from`: int, `to`: int, reason: string>>"
+    schema = ", ".join(f"{c} {dict(plan.dtypes)[c]}" for c in on) + own
+    limits = limits or Limits()
+
+    def ask(row: dict) -> bytes:
+        got = synthesise(row["applied"])
+        if not got:
+            raise ValueError("empty answer")
+        return got
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            audio, errors = [], []
-            for text in frame["applied"]:
-                try:
-                    got = synthesise(text)
-                    audio.append(got or None)
-                    errors.append(None if got else "empty answer")
-                except Exception as error:  # noqa: BLE001  any failure is the row's
-                    audio.append(None)
-                    errors.append(str(error))
-            out = frame[on].copy()
-            out["audio"], out["error"] = audio, errors
-            out["status"] = ["failed" if e else "done" for e in errors]
-            yield out[[*on, "audio", "status", "error"]]
-
-    spoken = plan.where(speakable(F.col("applied"))).select(*on, "applied").mapInPandas(run, schema)
-    silent = plan.where(~speakable(F.col("applied"))).select(*on, silent_wav(F.lit(silence_ms)).alias("audio"), F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"))
+        rows: list[dict] = []
+
+        def fed() -> Iterator[dict]:
+            for frame in frames:
+                for row in frame.to_dict("records"):
+                    rows.append({c: row[c] for c in on})
+                    yield row
+
+        for got in call_all(ask, fed(), limits):
+            out = rows[got.index] | {"audio": got.value, "status": "failed" if got.error else "done", "error": got.error, "attempts": got.attempts, "latency_s": got.latency_s, "concurrency": got.concurrency}
+            rows[got.index] = None
+            yield pd.DataFrame([out | {"changes": [{"from": a, "to": b, "reason": r} for a, b, r in got.changes]}])
+
+    spoken = plan.where(speakable(F.col("applied"))).select(*on, "applied").repartition(tasks).mapInPandas(run, schema)
+    silent = plan.where(~speakable(F.col("applied"))).select(
+        *on, silent_wav(F.lit(silence_ms)).alias("audio"), F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("attempts"), F.lit(0.0).alias("latency_s"),
+        F.lit(limits.start).alias("concurrency"), F.array().cast("array<struct<`from`: int, `to`: int, reason: string>>").alias("changes"),
+    )
     return spoken.unionByName(silent)
