@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ import corpus_pipeline
 from versefold.llm import decontamination as dc
 from versefold.llm import line_dedup as ld
 from versefold.llm import mixing as mx
-from versefold.llm import registry
+from versefold.llm import common, registry
 from versefold.llm.common import shared_table, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -182,3 +183,19 @@ def test_pipeline_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 100
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """Thue-Morse words and their complements collide in any polynomial modulo 2**64 from 1,024 letters on."""
+    turn = "a"
+    for _ in range(11):
+        turn += turn.translate(str.maketrans("ab", "ba"))
+    other = turn.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"x {turn} y"), (2, f"x {other} y"), (3, turn.upper())], "doc_id long, text string")
+    items = spark.createDataFrame([("i", turn)], "item_id string, text string")
+    got = {r.doc_id: r.contaminated for r in dc.mark_contaminated(docs, items).collect()}
+    assert got == {1: True, 2: False, 3: True}
+    data = np.frombuffer(f"{turn} {other} {turn[:300]} {other[:300]} {turn[:255]} {other[:255]} abc abd abcdefgh abcdefghi abcdefgh".encode(), np.uint8)
+    starts, ends, hashes, _ = common.words(data, np.array([0, len(data)]))
+    spelled = [data[x:y].tobytes() for x, y in zip(starts, ends, strict=True)]
+    assert len(set(hashes.tolist())) == len(set(spelled)) == len(spelled) - 1

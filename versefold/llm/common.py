@@ -8,25 +8,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import table
+
+__all__ = ["table"]
+
 #: Bytes of text that a numpy step works on at once; one longer text makes a slice of its own.
 SLICE = 1 << 20
 
 _U = np.uint64
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (as in tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets a temporary one; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="versefold-"))
+        named = sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="versefold-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -36,13 +40,23 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shared_table(df: DataFrame) -> DataFrame:
+def shared_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame, path: str | None = None) -> DataFrame:
     """The rows written as Parquet in the shared folder, and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = path or shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a table of shared_table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def with_fields(schema: T.StructType, fields: list[T.StructField]) -> T.StructType:
     """The schema with these fields at the end; one of the same name goes."""
     new = {f.name.lower() for f in fields}
@@ -114,20 +128,44 @@ def _letters() -> np.ndarray:
 
 
 class Spans:
-    """Hashes of any span of a byte array, from prefix sums; two independent families."""
+    """Hashes of any short span of a byte array, from prefix sums.
 
-    def __init__(self, data: np.ndarray, family: int = 0):
+    A polynomial modulo 2**64 is weak for spans of hundreds of bytes and more, for which texts can be built that collide;
+    so it only picks places (k-mers), and whatever tells texts apart uses word_hashes or xxh3.
+    """
+
+    def __init__(self, data: np.ndarray):
         self.up, down = _powers(len(data) + 1)
-        values = _letters()[data]
-        if family:
-            values = mix(values + _U(family))
         self.sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(values * down[: len(data)], out=self.sums[1:])
+        np.cumsum(_letters()[data] * down[: len(data)], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(_U))
 
 
+#: Bytes from which a word is hashed by itself.
+_LONG = 256
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: eight bytes at a time, each mixed in before the next; long words by xxh3."""
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix((eight[starts] & _KEEP[np.minimum(size, 8)]) + size.astype(_U) * _U(0x9E3779B97F4A7C15))
+    live = np.flatnonzero((size > 8) & (size < _LONG))
+    at = 8
+    while len(live):
+        out[live] = mix(out[live] * _U(0xD6E8FEB86659FD93) + (eight[starts[live] + at] & _KEEP[np.minimum(size[live] - at, 8)]))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size >= _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
 def _lower() -> tuple[np.ndarray, np.ndarray]:
     if "lower" not in _TABLES:
         low = np.arange(256, dtype=np.uint8)
@@ -138,6 +176,11 @@ def _lower() -> tuple[np.ndarray, np.ndarray]:
     return _TABLES["lower"]
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _lower()[0][data]
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z: starts, ends, 64-bit hashes, and n + 1 word offsets by row."""
     low, word = _lower()
@@ -152,7 +195,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after = np.zeros(len(data) + 1, bool)
     after[:-1] = is_word
     ends = np.flatnonzero(is_word & (~after[1:] | edge[1:])) + 1
-    return starts, ends, Spans(data)(starts, ends), np.searchsorted(starts, offsets)
+    return starts, ends, word_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -175,11 +218,15 @@ def string_field(name: str) -> T.StructField:
     return T.StructField(name, T.StringType())
 
 
+def _own(docs: DataFrame, doc_id: str) -> Column:
+    """The id as a long where it is a whole number, else as it is."""
+    return F.col(doc_id).cast("long") if isinstance(docs.schema[doc_id].dataType, T.IntegralType) else F.col(doc_id)
+
+
 def with_ids(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (__vf_id, __vf_text) with unique ids in document order, and, where doc_id is not unique, the ids of (doc_id, text)."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("__vf_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__vf_text"))
-    plain = slim.groupBy("__vf_id").count().where("__vf_id is null or count > 1").isEmpty()
-    if plain:
+    """Rows (__vf_id, __vf_text) with unique whole ids in document order, and, where doc_id is no unique whole number, the ids of (doc_id, text)."""
+    slim = docs.select(_own(docs, doc_id).alias("__vf_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__vf_text"))
+    if slim.schema["__vf_id"].dataType == T.LongType() and slim.groupBy("__vf_id").count().where("__vf_id is null or count > 1").isEmpty():
         return slim.where("__vf_id is not null"), None  # as joins ask for: so all uses of the texts share one exchange
     pairs = slim.distinct().repartitionByRange("__vf_id", "__vf_text").sortWithinPartitions("__vf_id", "__vf_text").withColumn("__vf_new", F.monotonically_increasing_id())
     pairs = shared_checkpoint(pairs)
@@ -195,5 +242,29 @@ def named_again(docs: DataFrame, made: DataFrame, pairs: DataFrame | None, doc_i
         left = docs.withColumn("__vf_of", F.col(doc_id).cast("long"))
         return left.join(made.drop("__vf_text"), F.col("__vf_of") == F.col("__vf_id")).drop("__vf_of", "__vf_id")
     named = pairs.withColumnsRenamed({"__vf_id": "__vf_doc", "__vf_text": "__vf_t"}).join(made.drop("__vf_text"), F.col("__vf_new") == F.col("__vf_id")).drop("__vf_new", "__vf_id")
-    left = docs.withColumn("__vf_of", F.col(doc_id).cast("long")).withColumn("__vf_o", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    left = docs.withColumn("__vf_of", _own(docs, doc_id)).withColumn("__vf_o", F.coalesce(F.col(text).cast("string"), F.lit("")))
     return left.join(named, F.col("__vf_of").eqNullSafe(F.col("__vf_doc")) & (F.col("__vf_o") == F.col("__vf_t"))).drop("__vf_of", "__vf_o", "__vf_doc", "__vf_t")
+
+
+def bounded_sample(docs: DataFrame, chosen: DataFrame, most_bytes: int, doc_id: str = "doc_id", text: str = "text") -> list:
+    """Rows (d, t, *chosen but doc_id) of the documents that `chosen` (a table of bounded length) names, most_bytes of text at most.
+
+    Texts are taken in order of a hash of id and text until the bytes are used up; a row that repeats one is left out.
+    A text that alone has a sixteenth of the bytes isn't taken. So neither an id that many rows share nor long texts let
+    the sample grow.
+    """
+    extra = [c for c in chosen.columns if c != doc_id]
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= most_bytes // 16))
+    rows = rows.join(F.broadcast(chosen), F.col("d") == F.col(doc_id)).drop(doc_id)
+    key = F.xxhash64("d", "t")
+    # A text has 64 bytes of its own besides, so the rows are bounded too.
+    few = rows.groupBy(key.alias("h")).agg(F.first(F.octet_length("t") + 64).alias("n")).orderBy("h").limit(most_bytes // 64)
+    till, used = None, 0
+    for r in few.toLocalIterator():
+        used += r["n"]
+        if used > most_bytes:
+            till = r["h"]
+            break
+    if till is not None:
+        rows = rows.where(key < till)
+    return sorted(rows.distinct().select("d", "t", *extra).collect(), key=lambda r: (r["d"], r["t"]))

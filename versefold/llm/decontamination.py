@@ -4,7 +4,7 @@ An item's windows are its runs of `width` words (a shorter item is one window).
 shingles, ordered by how many of them the corpus holds; as a window must be contained whole, its rarest shingle is the
 one necessary prefix token. Documents are joined with windows on that token. A match at a word position gives the only
 place where the window can lie (positional bound), which must fit in the document (length bound); there the words are
-compared one by one.
+compared, first by their hashes and then byte by byte.
 
 The items are read in blocks of a bounded size (`block_bytes` of text), each of which every task gets whole; a
 benchmark of any size is so many blocks, and each block is a pass over the documents.
@@ -20,28 +20,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import long_field, map_batches, shingles, slices, table, utf8, words
+from .common import long_field, lower, map_batches, shingles, slices, table, utf8, words
 
 WIDTH, SHINGLE, BLOCK_BYTES = 10, 3, 8 << 20
 
 _HIT = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
 
 
+def spoken(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Words as bytes, lower-cased, with blanks between."""
+    low = lower(data[starts[0] : ends[-1]]).tobytes() if len(starts) else b""
+    return b" ".join(low[x:y] for x, y in zip((starts - starts[0]).tolist(), (ends - starts[0]).tolist(), strict=True)) if len(starts) else b""
+
+
 class Windows:
     """The distinct windows of some items: lengths, word hashes, and the items of each."""
 
     def __init__(self, ids: list[str], texts: list[str | None], width: int, shingle: int):
         data, offsets = utf8(pa.array(texts, pa.string()))
-        hashes, row = words(data, offsets)[2:]
+        starts, ends, hashes, row = words(data, offsets)
         found: dict[bytes, set[str]] = {}
+        first: dict[bytes, np.ndarray] = {}
         for i, item in enumerate(ids):
-            own = hashes[row[i] : row[i + 1]]
-            n = min(width, len(own))
-            for p in range(len(own) - n + 1 if n else 0):
-                found.setdefault(own[p : p + n].tobytes(), set()).add(item)
+            own = row[i + 1] - row[i]
+            n = min(width, own)
+            for p in range(row[i], row[i + 1] - n + 1 if n else row[i]):
+                said = spoken(data, starts[p : p + n], ends[p : p + n])
+                found.setdefault(said, set()).add(item)
+                first.setdefault(said, hashes[p : p + n].copy())
         self.shingle = shingle
-        self.items = list(found.values())
-        self.hashes = [np.frombuffer(w, np.uint64) for w in found]
+        self.items, self.said, self.hashes = list(found.values()), list(found), list(first.values())
         self.tokens = {q: np.unique(np.concatenate([shingles(w, q) for w in self.hashes if min(shingle, len(w)) == q])) for q in {min(shingle, len(w)) for w in self.hashes}}
 
     def positions(self, hashes: np.ndarray, row: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +78,7 @@ class Windows:
         self.tokens = {q: t[keep[q]] for q, t in self.tokens.items()}
         self.by_token = {q: [x for x in lists if x] for q, lists in self.by_token.items()}
 
-    def matches(self, hashes: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def matches(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(start, end, window) for each occurrence, in words of the batch."""
         for q in self.tokens:
             at, which = self.positions(hashes, row, q)
@@ -79,7 +87,7 @@ class Windows:
                 for w, offset in lists:
                     s = p - offset
                     e = s + len(self.hashes[w])
-                    if s >= row[d] and e <= row[d + 1] and np.array_equal(hashes[s:e], self.hashes[w]):
+                    if s >= row[d] and e <= row[d + 1] and np.array_equal(hashes[s:e], self.hashes[w]) and spoken(data, starts[s:e], ends[s:e]) == self.said[w]:
                         yield s, e, w
 
 
@@ -155,9 +163,10 @@ def _marked(docs: DataFrame, text: str, windows: Windows | None, first: bool) ->
             spans = [[(x["s"], x["e"]) for x in v] for v in batch.column("hit_spans").to_pylist()]
             found = [set(v) for v in batch.column("item_ids").to_pylist()]
         for lo, hi in slices(offsets):
-            hashes, row = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[2:]
+            part = data[offsets[lo] : offsets[hi]]
+            starts, ends, hashes, row = words(part, offsets[lo : hi + 1] - offsets[lo])
             counts[lo:hi] = np.diff(row)
-            for s, e, w in windows.matches(hashes, row) if windows else ():
+            for s, e, w in windows.matches(part, starts, ends, hashes, row) if windows else ():
                 d = int(np.searchsorted(row, s, "right")) - 1
                 spans[lo + d].append((s - int(row[d]), e - int(row[d])))
                 found[lo + d] |= windows.items[w]
