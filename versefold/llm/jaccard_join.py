@@ -1,22 +1,26 @@
 """N-gram Jaccard join by chosen paths, for documents as sets of word shingles.
 
 Each run samples a few tokens of every set: a token is chosen where its hash in that run is below branch / (threshold *
-size), so similar sets tend to choose the same ones. Sets that choose a token share a bucket. Small buckets are compared
-by brute force; larger ones are split again on further sampled tokens, and runs repeat until the target recall
-(`runs`). Within a bucket, one-bit sketches (one permutation, 256 bins) drop pairs that are far from the threshold, and
-what is left goes on as a spanning forest, not as pairs.
-
-Connected candidates are then verified exactly: the sets of a component meet in blocks, and all pairs of blocks are
-counted, so that no link is lost and none is emitted as a row: a block pair returns each member's number of links and
-a spanning forest of them. Equal sets are one node all along, with a count.
-
-A token that a large share of documents choose (found in a sample; a list of bounded length) is split in the map tasks.
+size), so similar sets tend to choose the same ones. Sets that choose a token share a bucket. A bucket that holds more
+than a few sets is split again on further sampled tokens, to `depth` levels; what is small is compared by brute force.
+Runs repeat until the target recall (`runs`). Equal sets are one node from the start, with a count, so copies enter no
+bucket twice. All levels and runs choose from one pool of sampled tokens that each set carries.
+
+A bucket that splitting doesn't make smaller holds either a family of near copies or sets that share one passage. It is
+dealt out in blocks: all are compared with a block of pivots, and those that are near to none of them with all others
+(a family costs its length, not its square). Nothing is dropped for its size: bucket sizes are counted over all sets
+before rows are shuffled, so no task gathers a large bucket.
+
+Within buckets, one-bit sketches (one permutation, 256 bins) drop pairs that are far from the threshold, and what is
+left goes on as a spanning forest, not as pairs. Connected candidates are then verified exactly: the sets of a component
+meet in blocks, and all pairs of blocks are counted, so that no link is lost and none is emitted as a row: a block pair
+returns each member's number of links and a spanning forest of them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +28,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import long_field, mix, named_again, shared_checkpoint, shingles, slices, table, utf8, with_ids, words
+from .common import long_field, mix, named_again, shared_checkpoint, shared_table, shingles, slices, table, utf8, with_ids, words
 
-WIDTH, THRESHOLD, RECALL, BRANCH, SMALL, BLOCK = 5, 0.8, 0.999, 1.5, 256, 512
-SAMPLE, HOT_SHARE, HOT_MOST = 64, 0.01, 4096
+#: Sets of a bucket that are compared by brute force; levels; sets of a block of a bucket that isn't split further.
+WIDTH, THRESHOLD, RECALL, BRANCH, SMALL, DEPTH, SIDE = 5, 0.8, 0.999, 1.5, 256, 3, 512
+#: Expected tokens of the pool that paths are chosen from, times the threshold; a bucket whose largest part is this share of it isn't split.
+POOL, FAMILY = 48.0, 0.5
+#: Sets of a block of a component that is verified, at least and at most, and bytes of their tokens.
+LEAST, MOST, BYTES = 256, 2048, 16 << 20
 BINS, SIGMAS = 256, 4.5
 
 _U = np.uint64
-_POOL = 8.0
 
 
-def runs(threshold: float, recall: float, branch: float = BRANCH, depth: int = 2) -> int:
-    """How many runs find a pair at the threshold with this probability: those in which its tree of shared paths dies out multiply."""
+def runs(threshold: float, recall: float, branch: float = BRANCH, depth: int = DEPTH) -> int:
+    """How many runs find a pair at the threshold with this probability.
+
+    Those in which its tree of shared paths dies out multiply; the sketches lose a pair at the threshold with the
+    probability of SIGMAS deviations.
+    """
     shared, lost = 2 * branch / (1 + threshold), 0.0
     for _ in range(depth):
         lost = math.exp(-shared * (1 - lost))
-    return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
+    kept = 1 - math.erfc(SIGMAS / math.sqrt(2)) / 2
+    return max(1, math.ceil(math.log(1 - min(recall / kept, 1 - 1e-9)) / math.log(lost)))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,187 +104,250 @@ def near(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, t
     return (differ <= most) & (small >= threshold * large - 1e-9)
 
 
-class Paths:
-    """The chosen tokens of a run, and those chosen below each of them."""
+def pools(tokens: np.ndarray, offsets: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that a set's paths are chosen from (32 bits of each), and offsets: about POOL / threshold of them."""
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size)), size)
+    h = mix(tokens ^ _U(0x2545F4914F6CDD1D))
+    share = np.minimum(POOL / (threshold * np.maximum(size, 1)), 1.0)
+    pick = np.flatnonzero((h >> _U(11)).astype(np.float64) / (1 << 53) < share[row])
+    return mix(h[pick]).astype(np.uint32), np.searchsorted(row[pick], np.arange(len(size) + 1))
 
-    def __init__(self, tokens: np.ndarray, offsets: np.ndarray, run: int, threshold: float, branch: float):
-        size = np.diff(offsets)
-        share = np.minimum(branch / (threshold * np.maximum(size, 1)), 1.0)
-        row = np.repeat(np.arange(len(size)), size)
-        u = (mix(tokens + _U(0x9E3779B97F4A7C15 * (2 * run + 1) & (1 << 64) - 1)) >> _U(11)).astype(np.float64) / (1 << 53)
-        pick = np.flatnonzero(u < share[row])
-        self.row, self.key = row[pick], mix(tokens[pick] ^ _U(run + 1))
-        v = (mix(tokens + _U(0xBF58476D1CE4E5B9 * (2 * run + 1) & (1 << 64) - 1)) >> _U(11)).astype(np.float64) / (1 << 53)
-        wide = np.minimum(share * _POOL, 1.0)
-        pool = np.flatnonzero(v < wide[row])
-        starts = np.searchsorted(row[pool], np.arange(len(size) + 1))
-        count = (starts[1:] - starts[:-1])[self.row]
-        parent = np.repeat(np.arange(len(self.row)), count)
-        child = pool[np.repeat(starts[:-1][self.row], count) + np.arange(len(parent)) - np.repeat(np.cumsum(count) - count, count)]
-        path = mix(self.key[parent] ^ mix(tokens[child]))
-        below = (path >> _U(11)).astype(np.float64) / (1 << 53) < (share / wide)[self.row[parent]]
-        self.parent, self.path = parent[below], mix(path[below] + _U(1))
 
+def choose(path: np.ndarray, row: np.ndarray, pool: np.ndarray, size: np.ndarray, threshold: float, branch: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pool tokens are chosen below a path, and the paths that they make. path and size are by row; pool tokens have a row."""
+    share = np.minimum(branch / (threshold * np.maximum(size, 1)), 1.0) / np.minimum(POOL / (threshold * np.maximum(size, 1)), 1.0)
+    below = mix(path[row] ^ (pool.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15))
+    pick = np.flatnonzero((mix(below) >> _U(11)).astype(np.float64) / (1 << 53) < share[row])
+    return pick, below[pick]
 
-_ROW = T.StructType([long_field("key"), long_field("id"), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("below", T.BinaryType())])
-_SIG = T.StructType([long_field("id"), long_field("sa"), long_field("sb"), T.StructField("n", T.IntegerType())])
 
+_SIGNED = T.StructType([long_field("id"), long_field("sa"), long_field("sb"), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("pool", T.BinaryType())])
+_ROW = T.StructType([long_field("key"), long_field("id"), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
+_KID = T.StructType([long_field("parent"), long_field("m"), *_ROW.fields])
+
+
+def _signed(docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Size, signature, sketch and pool of each document's set."""
 
-def _signed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, (data, offsets) = batch.column(0).to_numpy(), utf8(batch.column(1))
             for lo, hi in slices(offsets):
                 tokens, own = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
                 sa, sb = signatures(tokens, own)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(sa.view(np.int64)), pa.array(sb.view(np.int64)), pa.array(np.diff(own).astype(np.int32))], names=_SIG.names)
+                pool, at = pools(tokens, own, threshold)
+                raw, sketch = pool.tobytes(), sketches(tokens, own)
+                at = (4 * at).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[lo:hi]), pa.array(sa.view(np.int64)), pa.array(sb.view(np.int64)), pa.array(np.diff(own).astype(np.int32)), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([raw[x:y] for x, y in zip(at, at[1:], strict=False)], pa.binary())],
+                    names=_SIGNED.names,
+                )
+
+    return docs.select("__vf_id", "__vf_text").mapInArrow(run, _SIGNED)
 
-    return docs.select("__vf_id", "__vf_text").mapInArrow(run, _SIG)
 
+def _pooled(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and tokens of a batch's pools."""
+    raw, offsets = utf8(batch.column("pool"))
+    return np.repeat(np.arange(len(batch)), np.diff(offsets) // 4), np.frombuffer(raw.tobytes(), np.uint32)
 
-def _chosen(docs: DataFrame, width: int, threshold: float, n_runs: int, branch: float, hot: np.ndarray, keys_only: bool = False) -> DataFrame:
-    """A row for each chosen token of each distinct set of a batch; of hot tokens, for each path below."""
+
+def _first_level(nodes: DataFrame, threshold: float, branch: float, n_runs: int, keys_only: bool = False) -> DataFrame:
+    """A row for each chosen token of each set and run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, (data, offsets) = batch.column(0).to_numpy(), utf8(batch.column(1))
-            order = np.argsort(ids, kind="stable")
-            seen: dict[tuple[int, int], int] = {}
-            parts = []
-            for lo, hi in slices(offsets):
-                tokens, own = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
-                sa, sb = signatures(tokens, own)
-                parts.append((lo, tokens, own, sa, sb))
-            sa, sb = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, _U) for i in (3, 4))
-            first = np.zeros(len(ids), bool)
-            for i in order.tolist():
-                if seen.setdefault((int(sa[i]), int(sb[i])), i) == i:
-                    first[i] = True
-            for lo, tokens, own, _, _ in parts:
-                sketch = sketches(tokens, own)
-                for r in range(n_runs):
-                    p = Paths(tokens, own, r, threshold, branch)
-                    live = first[lo + p.row]
-                    if keys_only:
-                        yield pa.RecordBatch.from_arrays([pa.array(p.key[live].view(np.int64))], names=["key"])
-                        continue
-                    is_hot = hot[np.minimum(np.searchsorted(hot, p.key), len(hot) - 1)] == p.key if len(hot) and len(p.key) else np.zeros(len(p.key), bool)
-                    use = np.flatnonzero(live & ~is_hot)
-                    deep = np.flatnonzero((live & is_hot)[p.parent])
-                    starts = np.searchsorted(p.parent, np.arange(len(p.row) + 1))
-                    below = [p.path[starts[i] : starts[i + 1]].tobytes() for i in use.tolist()] + [b""] * len(deep)
-                    at = np.r_[p.row[use], p.row[p.parent[deep]]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.r_[p.key[use], p.path[deep]].view(np.int64)), pa.array(ids[lo + at]), pa.array(np.diff(own)[at].astype(np.int32)), pa.array([sketch[i].tobytes() for i in at.tolist()], pa.binary()), pa.array(below, pa.binary())],
-                        names=_ROW.names,
-                    )
-
-    return docs.select("__vf_id", "__vf_text").mapInArrow(run, "key long" if keys_only else _ROW)
-
-
-def _hot(docs: DataFrame, share: float, *args: object) -> np.ndarray:
-    sample = docs.where(F.pmod(F.xxhash64("__vf_id"), F.lit(SAMPLE)) == 0)
-    least = max(16, int(sample.count() * share))
-    found = _chosen(sample, *args, np.empty(0, _U), keys_only=True).groupBy("key").count().where(F.col("count") >= least)
-    rows = found.orderBy(F.desc("count"), "key").limit(HOT_MOST).collect()
-    return np.sort(np.array([r["key"] for r in rows], np.int64).view(_U))
-
-
-class Forest:
-    """Union-find over 0..n-1; the root is the least member."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, pairs: np.ndarray) -> None:
-        for x, y in pairs.tolist():
-            x, y = self.root(x), self.root(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
-
-    def edges(self) -> tuple[list[int], list[int]]:
-        child = [x for x in range(len(self.up)) if self.root(x) != x]
-        return [self.root(x) for x in child], child
-
-
-def _brute(size: np.ndarray, sketch: np.ndarray, threshold: float, block: int = 512) -> Forest:
-    """Candidates of a bucket (sorted by size, so that far sizes are passed over block by block), as a forest."""
-    forest = Forest(len(size))
-    order = np.argsort(size, kind="stable")
-    for lo in range(0, len(order), block):
-        a = order[lo : lo + block]
-        for at in range(lo, len(order), block):
-            b = order[at : at + block]
-            if size[b[0]] * threshold > size[a[-1]] + 1e-9:
-                break
-            x, y = np.nonzero(near(sketch[a], sketch[b], size[a], size[b], threshold))
-            x, y = a[x], b[y]
-            keep = x != y
-            pairs = np.stack([x[keep], y[keep]], 1)
-            forest.join(pairs)
-    return forest
-
-
-def _candidates(rows: DataFrame, threshold: float, small: int) -> DataFrame:
-    """Edges (u, v) that connect the candidate pairs of all buckets. Rows come dealt by key."""
-
-    def bucket(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, below: list[bytes] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if len(ids) < 2:
-            return
-        if len(ids) <= small or below is None:
-            # A set's copies in other batches share its sketch and size; they are joined by their signature elsewhere.
-            u, v = _brute(size, sketch, threshold).edges()
-            yield ids[u], ids[v]
-            return
-        paths = [np.frombuffer(x, np.int64) for x in below]
-        who = np.repeat(np.arange(len(ids)), [len(x) for x in paths])
-        path = np.concatenate(paths)
-        order = np.argsort(path, kind="stable")
-        path, who = path[order], who[order]
-        cuts = np.r_[np.flatnonzero(np.r_[True, path[1:] != path[:-1]]), len(path)] if len(path) else [0]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            w = np.unique(who[lo:hi])
-            yield from bucket(ids[w], size[w], sketch[w], None)
+            row, pool = _pooled(batch)
+            size = batch.column("n").to_numpy()
+            for r in range(n_runs):
+                pick, key = choose(np.full(len(size), mix(np.array([r + 1], _U))[0]), row, pool, size, threshold, branch)
+                at = row[pick]
+                if keys_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("id").take(pa.array(at))], names=["key", "id"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(c).take(pa.array(at)) for c in ("id", "n", "sketch"))], names=_ROW.names)
+
+    return nodes.select("id", "n", *([] if keys_only else ["sketch"]), "pool").mapInArrow(run, T.StructType(_ROW.fields[:2]) if keys_only else _ROW)
+
+
+def _next_level(rows: DataFrame, threshold: float, branch: float) -> DataFrame:
+    """Rows (key, m, id, n, sketch, pool) of large buckets, split on the tokens chosen below their paths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, pool = _pooled(batch)
+            path = batch.column("key").to_numpy().view(_U)
+            pick, key = choose(path, row, pool, batch.column("n").to_numpy(), threshold, branch)
+            at = pa.array(row[pick])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("m").take(at), pa.array(key.view(np.int64)), *(batch.column(c).take(at) for c in ("id", "n", "sketch"))], names=_KID.names)
+
+    return rows.select("key", "m", "id", "n", "sketch", "pool").mapInArrow(run, _KID)
+
+
+def spread_labels(linked: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For 0..n-1 the least index that links connect each with; linked is a matrix of indices a by indices b."""
+    label = np.arange(n)
+    while True:
+        old = label.copy()
+        label[b] = np.minimum(label[b], np.where(linked, label[a][:, None], n).min(0, initial=n))
+        label[a] = np.minimum(label[a], np.where(linked, label[b][None, :], n).min(1, initial=n))
+        label = label[label]
+        if np.array_equal(old, label):
+            return label
+
+
+def _grouped(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], out: T.StructType) -> DataFrame:
+    """work over the rows of each key, a few hundred keys of a task at a time; whole groups, in order of the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
-
-        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            rows = rows.combine_chunks()
-            key, ids, size = (rows.column(c).to_numpy() for c in ("key", "id", "n"))
-            sketch = np.frombuffer(utf8(rows.column("sketch"))[0].tobytes(), _U).reshape(len(key), -1)
-            below = rows.column("below")
-            cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-            out = []
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi - lo > 1:
-                    out += bucket(ids[lo:hi], size[lo:hi], sketch[lo:hi], below.slice(lo, hi - lo).to_pylist() if hi - lo > small and len(below[lo].as_py()) + len(below[hi - 1].as_py()) else None)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], names=["u", "v"])
+
+        def cut(batch: pa.RecordBatch) -> int:
+            """Where the last key of a batch begins."""
+            low = 0
+            for k in keys:
+                x = batch.column(k).to_numpy()
+                differ = np.flatnonzero(x != x[-1])
+                low = max(low, int(differ[-1]) + 1 if len(differ) else 0)
+            return low
+
+        def last(batch: pa.RecordBatch, at: int) -> tuple:
+            return tuple(batch.column(k)[at].as_py() for k in keys)
 
         for batch in batches:
             if not len(batch):
                 continue
-            key = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
-            if held and (cut > 0 or key[0] != last):
-                yield from flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            at = cut(batch)
+            if held and (at or last(held[-1], -1) != last(batch, 0)):
+                if last(held[-1], -1) == last(batch, 0):
+                    held.append(batch.slice(0, at))
+                    batch = batch.slice(at)
+                    at = 0
+                yield from work(pa.Table.from_batches(held).combine_chunks())
                 held = []
-            elif cut:
-                yield from flush(pa.Table.from_batches([batch.slice(0, cut)]))
-            held.append(batch.slice(cut))
-            last = key[-1]
+            if at:
+                yield from work(pa.Table.from_batches([batch.slice(0, at)]))
+            if len(batch) > at:
+                held.append(batch.slice(at))
         if held:
-            yield from flush(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "u long, v long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
+
+
+def _cuts(*columns: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.r_[np.flatnonzero(new), len(new)]
+
+
+def _sketched(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(utf8(rows.column("sketch"))[0].tobytes(), _U).reshape(len(rows), -1)
+
+
+_EDGE = T.StructType([long_field("u"), long_field("v")])
+_TIED = T.StructType([long_field("key"), *_EDGE.fields])
+
+
+def _small_buckets(rows: DataFrame, threshold: float) -> DataFrame:
+    """Edges (u, v) that connect the candidate pairs of small buckets."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, ids, size, sketch = (*(rows.column(c).to_numpy() for c in ("key", "id", "n")), _sketched(rows))
+        cuts = _cuts(key)
+        u, v = [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi - lo > 1:
+                part = np.arange(hi - lo)
+                label = spread_labels(near(sketch[lo:hi], sketch[lo:hi], size[lo:hi], size[lo:hi], threshold), part, part, hi - lo)
+                child = np.flatnonzero(label != part)
+                u.append(ids[lo:hi][label[child]])
+                v.append(ids[lo:hi][child])
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=_EDGE.names)
+
+    return _grouped(rows, ["key"], work, _EDGE)
+
+
+def _against(rows: DataFrame, keys: list[str], threshold: float, tell: bool) -> DataFrame:
+    """Rows (key, ..., pivot, id, n, sketch) by keys: edges that connect pivots with near ones of the others; with tell, (key, id, null) for those that are near to no pivot."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, ids, size, pivot, sketch = (*(rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "n", "pivot")), _sketched(rows))
+        cuts = _cuts(*(rows.column(k).to_numpy() for k in keys))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            every, own = np.arange(hi - lo), pivot[lo:hi].astype(bool)
+            a, b = every[own], every[~own]
+            if not len(a):
+                a = b[:0]
+            b = b if len(b) else b[:0]
+            linked = near(sketch[lo:hi][a], sketch[lo:hi][b], size[lo:hi][a], size[lo:hi][b], threshold)
+            label = spread_labels(linked, a, b, hi - lo)
+            # A set may be here as a pivot and as one of the others; equal ids are one.
+            child = np.flatnonzero(label != every)
+            u, v = ids[lo:hi][label[child]].tolist(), ids[lo:hi][child].tolist()
+            alone = ids[lo:hi][b[~linked.any(0)]].tolist() if tell else []
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u) + len(alone), key[lo])), pa.array(u + alone, pa.int64()), pa.array(v + [None] * len(alone), pa.int64())], names=_TIED.names)
+
+    return _grouped(rows, keys, work, _TIED)
+
+
+def _large_buckets(rows: DataFrame, threshold: float, side: int) -> DataFrame:
+    """Edges (u, v) that connect the candidate pairs of buckets that aren't split: rows (key, m, id, n, sketch), m in a bucket.
+
+    A bucket is dealt in blocks of about `side`. Each meets the first, the pivots; what is near to no pivot meets all blocks.
+    """
+    blocks = F.ceil(F.col("m") / side).cast("int")
+    rows = shared_table(rows.withColumn("b", blocks).withColumn("j", F.pmod(F.xxhash64("id", "key"), blocks.cast("long")).cast("int")))
+    others = rows.withColumn("pivot", F.lit(False))
+    pivots = rows.where("j = 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).withColumn("pivot", F.lit(True))
+    found = shared_checkpoint(_against(others.unionByName(pivots).drop("m", "b"), ["key", "j"], threshold, True))
+    edges = found.where("v is not null").select("u", "v")
+    alone = found.where("v is null").select("key", F.col("u").alias("id"))
+    if alone.isEmpty():
+        return edges
+    alone = alone.join(alone.groupBy("key").agg(F.count("*").alias("r")), "key")
+    parts = F.ceil(F.col("r") / side).cast("int")
+    rest = rows.join(alone, ["key", "id"]).withColumn("parts", parts).withColumn("i", F.pmod(F.xxhash64("id", "key", F.lit(1)), parts.cast("long")).cast("int"))
+    heads = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).withColumn("pivot", F.lit(True))
+    sizes = alone.select("key", parts.alias("parts")).distinct()
+    every = rows.join(sizes, "key").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("pivot", F.lit(False))
+    names = ["key", "i", "j", "pivot", "id", "n", "sketch"]
+    return edges.unionByName(_against(heads.select(*names).unionByName(every.select(*names)), ["key", "i", "j"], threshold, False).select("u", "v"))
+
+
+def _candidates(nodes: DataFrame, threshold: float, branch: float, n_runs: int, small: int, depth: int, side: int) -> DataFrame:
+    """Edges (u, v) that connect the candidate pairs of all buckets. nodes: (id, n, sketch, pool)."""
+    keys = _first_level(nodes, threshold, branch, n_runs, keys_only=True)
+    large = shared_checkpoint(keys.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > small))
+    edges = _small_buckets(_first_level(nodes, threshold, branch, n_runs).join(large, "key", "left_anti"), threshold)
+    if large.isEmpty():
+        return edges
+    by_id = nodes.select("id", "n", "sketch", "pool")
+    level = keys.join(large, "key").join(by_id, "id")
+    leaves = None
+    for _ in range(depth - 1):
+        level = shared_table(level)
+        kids = _next_level(level, threshold, branch)
+        # A kid's key comes of its parent's, so a key has one parent.
+        size = shared_checkpoint(kids.groupBy("key").agg(F.first("parent").alias("parent"), F.first("m").alias("m"), F.count("*").alias("c")).where(F.col("c") > small))
+        tight = size.groupBy("parent").agg(F.max("c").alias("c"), F.first("m").alias("m")).where(F.col("c") >= F.col("m") * FAMILY).select(F.col("parent").alias("key"))
+        tight = shared_checkpoint(tight)
+        whole = level.join(tight, "key", "left_semi").drop("pool")
+        leaves = whole if leaves is None else leaves.unionByName(whole)
+        kids = kids.join(tight.withColumnRenamed("key", "parent"), "parent", "left_anti").drop("parent", "m")
+        edges = edges.unionByName(_small_buckets(kids.join(size, "key", "left_anti"), threshold))
+        more = size.join(tight.withColumnRenamed("key", "parent"), "parent", "left_anti").select("key", F.col("c").alias("m"))
+        level = kids.select("key", "id").join(more, "key").join(by_id, "id")
+        if more.isEmpty():
+            level = None
+            break
+    if level is not None:
+        leaves = level.drop("pool") if leaves is None else leaves.unionByName(level.drop("pool"))
+    return edges.unionByName(_large_buckets(leaves.select("key", "m", "id", "n", "sketch"), threshold, side))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,57 +364,56 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-def _verified(sets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """From rows (comp, i, j, side, id, copies, tokens), sorted, a row for each member of each block pair: id, links, and the root of a forest of links."""
+def _verified(sets: DataFrame, threshold: float) -> DataFrame:
+    """From rows (comp, i, j, side, id, copies, tokens), a row for each member of each block pair: id, links, and the root of a forest of links."""
     out = T.StructType([long_field("id"), long_field("links"), long_field("root")])
 
-    def pair(ids: np.ndarray, copies: np.ndarray, sides: np.ndarray, tokens: list[np.ndarray], same: bool) -> tuple:
-        size = np.array([len(x) for x in tokens])
-        flat, who = np.concatenate(tokens), np.repeat(np.arange(len(ids)), size)
-        order = np.argsort(flat, kind="stable")
-        flat, who = flat[order], who[order]
-        new = np.r_[True, flat[1:] != flat[:-1]]
-        column = np.cumsum(new) - 1
-        many = np.bincount(column) > 1
-        keep = many[column]
-        who, column = who[keep], (np.cumsum(many) - 1)[column[keep]]
-        shared = np.zeros((len(ids), len(ids)), np.float32)
-        for lo in range(0, int(many.sum()), 4096):
-            part = (column >= lo) & (column < lo + 4096)
-            x = np.zeros((len(ids), 4096), np.float32)
-            x[who[part], column[part] - lo] = 1
-            shared += x @ x.T
-        union = size[:, None] + size[None, :] - shared
-        linked = shared >= threshold * union - 1e-6
-        np.fill_diagonal(linked, False)
-        if not same:
-            linked &= sides[:, None] != sides[None, :]
-        forest = Forest(len(ids))
-        forest.join(np.stack(np.nonzero(linked), 1))
-        return ids, linked @ copies, ids[[forest.root(x) for x in range(len(ids))]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last = None
-
-        def flush() -> pa.RecordBatch:
-            order = sorted(range(len(held)), key=lambda k: held[k][0])
-            ids, copies, sides = (np.array([held[k][c] for k in order]) for c in range(3))
-            got = pair(ids, copies, sides, [np.frombuffer(held[k][3], _U) for k in order], last[1] == last[2])
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in got], names=out.names)
-
-        for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j")), strict=True)
-            for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in ("id", "copies", "side", "tokens")), strict=True), strict=True):
-                if key != last and held:
-                    yield flush()
-                    held = []
-                last = key
-                held.append(row)
-        if held:
-            yield flush()
-
-    return sets.mapInArrow(run, out)
+    def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        """How many tokens each of a has in common with each of b."""
+        flat = [np.concatenate(x) if x else np.empty(0, _U) for x in (a, b)]
+        both = np.intersect1d(*(np.unique(x) for x in flat), assume_unique=True)
+        total = np.zeros((len(a), len(b)), np.float32)
+        at = []
+        for x, own in zip(flat, (a, b), strict=True):
+            column = np.searchsorted(both, x)
+            held = column < len(both)
+            held[held] = both[column[held]] == x[held]
+            at.append((np.repeat(np.arange(len(own)), [len(y) for y in own])[held], column[held]))
+        for lo in range(0, len(both), 4096):
+            width = min(4096, len(both) - lo)
+            dense = []
+            for (row, column), own in zip(at, (a, b), strict=True):
+                part = (column >= lo) & (column < lo + width)
+                x = np.zeros((len(own), width), np.float32)
+                x[row[part], column[part] - lo] = 1
+                dense.append(x)
+            total += dense[0] @ dense[1].T
+        return total
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        comp, i, j, side, ids, copies = (rows.column(c).to_numpy() for c in ("comp", "i", "j", "side", "id", "copies"))
+        raw, offsets = utf8(rows.column("tokens"))
+        raw = raw.tobytes()
+        cuts = _cuts(comp, i, j)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            order = lo + np.argsort(ids[lo:hi], kind="stable")
+            own, n = ids[order], hi - lo
+            tokens = [np.frombuffer(raw, _U, (offsets[k + 1] - offsets[k]) // 8, offsets[k]) for k in order.tolist()]
+            size = np.array([len(x) for x in tokens])
+            same = i[lo] == j[lo]
+            a = np.arange(n) if same else np.flatnonzero(side[order] == i[lo])
+            b = np.arange(n) if same else np.flatnonzero(side[order] != i[lo])
+            common = shared([tokens[k] for k in a], [tokens[k] for k in b])
+            linked = common >= threshold * (size[a][:, None] + size[b][None, :] - common) - 1e-6
+            if same:
+                np.fill_diagonal(linked, False)
+            links = np.zeros(n, np.int64)
+            links[a] = linked @ copies[order][b]
+            if not same:
+                links[b] = linked.T @ copies[order][a]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, links, own[spread_labels(linked, a, b, n)])], names=out.names)
+
+    return _grouped(sets, ["comp", "i", "j"], work, out)
 
 
 def _sets(members: DataFrame, width: int) -> DataFrame:
@@ -358,7 +432,7 @@ def _sets(members: DataFrame, width: int) -> DataFrame:
     return members.mapInArrow(run, schema)
 
 
-def join_near(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, branch: float = BRANCH, small: int = SMALL, block: int = BLOCK, hot_share: float = HOT_SHARE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join_near(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, branch: float = BRANCH, small: int = SMALL, depth: int = DEPTH, side: int = SIDE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with class_id, n_links and is_first (whether a row's document is the one whose doc_id is its class's).
 
     Documents are linked whose sets of `width`-word shingles (words after lower-casing A-Z, as in decontamination) have
@@ -366,38 +440,31 @@ def join_near(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHO
     the least doc_id that links connect it with, or its own. A text with fewer words is one shingle; one without words,
     null or empty, has no links. A pair at the threshold is found with probability `recall` or more, a closer one with a
     higher one; equal sets always are, and what is found is exact. Rows that repeat doc_id and text are one document,
-    rows of one doc_id with different texts are several. Columns of these names are replaced.
+    rows of one doc_id with different texts are several. A doc_id may be of any type that has an order. Whole texts of
+    any length count. Columns of these names are replaced; others pass through.
     """
     slim, pairs = with_ids(docs, doc_id, text)
-    signed = shared_checkpoint(_signed(slim, width))
-    nodes = shared_checkpoint(signed.where("n > 0").groupBy("sa", "sb").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    args = (width, threshold, runs(threshold, recall, branch), branch)
-    rows = _chosen(slim, *args, _hot(slim, hot_share, *args))
-    edges = _candidates(rows, threshold, small)
-    # A set may be known by several of its copies: one for each batch of rows that holds it.
-    named = signed.where("n > 0").join(nodes, ["sa", "sb"]).select(F.col("id").alias("copy"), "rep", "copies")
-    named = shared_checkpoint(named)
-    alias = named.where("copy <> rep").select("copy", "rep")
-    edges = edges.distinct().join(alias.withColumnsRenamed({"copy": "cu", "rep": "ru"}), F.col("u") == F.col("cu"), "left")
-    edges = edges.join(alias.withColumnsRenamed({"copy": "cv", "rep": "rv"}), F.col("v") == F.col("cv"), "left")
-    edges = edges.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")).where("u <> v").distinct()
+    signed = shared_table(_signed(slim, width, threshold))
+    # Equal sets have equal sizes, sketches and pools.
+    same = signed.where("n > 0").groupBy("sa", "sb").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("pool").alias("pool"))
+    nodes = shared_table(same)
+    edges = _candidates(nodes, threshold, branch, runs(threshold, recall, branch, depth), small, depth, side)
     comps = components(edges)
-    sized = comps.groupBy("comp").agg(F.count("*").alias("m"))
-    members = comps.join(sized, "comp").join(named.where("copy = rep").select("rep", "copies"), F.col("node") == F.col("rep")).select("node", "comp", "copies", "m")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    members = shared_checkpoint(members.select("node", "comp", "copies", blocks.alias("b"), own.alias("own")))
+    members = comps.join(nodes.select("id", "copies", "n"), F.col("node") == F.col("id"))
+    sized = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.col("n") * F.lit(8).cast("long")).alias("bytes"))
+    block = F.least(F.greatest(F.col("m") / 16, F.lit(float(LEAST))), F.lit(float(MOST)))
+    sized = sized.select("comp", F.ceil(F.greatest(F.col("m") / block, F.col("bytes") / BYTES)).cast("int").alias("b"))
+    own = F.pmod(F.xxhash64("node"), F.col("b").cast("long")).cast("int")
+    members = shared_checkpoint(members.join(sized, "comp").select("node", "comp", "copies", "b", own.alias("own")))
     sets = _sets(slim.join(members, F.col("__vf_id") == F.col("node")).select("__vf_id", "__vf_text", "comp", "copies", "b", "own"), width)
     met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
     met = met.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), F.col("__vf_id").alias("id"), "copies", "tokens")
-    met = met.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    found = shared_checkpoint(_verified(met, threshold, block))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    found = shared_checkpoint(_verified(met, threshold))
+    links = found.groupBy(F.col("id").alias("of")).agg(F.sum("links").alias("links"))
     classes = components(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
-    nodes = named.where("copy = rep").select("rep", "copies")
-    nodes = nodes.join(links, F.col("rep") == F.col("id"), "left").join(classes, F.col("rep") == F.col("node"), "left")
-    nodes = nodes.select("rep", F.coalesce("comp", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    made = named.join(nodes, "rep").select(F.col("copy").alias("__vf_id"), "class_id", "n_links")
+    done = nodes.select("sa", "sb", "id", "copies").join(links, F.col("id") == F.col("of"), "left").join(classes, F.col("id") == F.col("node"), "left")
+    done = done.select("sa", "sb", F.coalesce("comp", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    made = signed.where("n > 0").select("id", "sa", "sb").join(done, ["sa", "sb"]).select(F.col("id").alias("__vf_id"), "class_id", "n_links")
     empty = signed.where("n = 0").select(F.col("id").alias("__vf_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     made = made.unionByName(empty)
     made = made.withColumn("is_first", F.col("__vf_id") == F.col("class_id"))
