@@ -91,7 +91,31 @@ def test_run_index():
                 seen.add(t[s : s + n])
             at += len(t)
         assert index.later(n).tolist() == want
-        assert len(index.runs) <= len(data)
+        assert len(index.runs) <= len(data) + index.m
+        assert not any(isinstance(v, np.ndarray) and v.size > 2 * len(index.runs) + 257 for v in vars(index).values())
+        for _ in range(10):
+            pattern = noise(rng, rng.randint(1, 5), "ab\0")
+            assert index.count(pattern.encode()) == sum(t.startswith(pattern, k) for t in texts for k in range(len(t)))
+    # The index of many copies has as many runs as that of a few, and a row for each string's start.
+    one = noise(rng, 2000, "abcdefgh")
+    sizes = [len(sd.RunIndex(np.frombuffer((one * k).encode(), np.uint8), np.arange(k + 1) * 2000).rows) for k in (1, 40)]
+    assert sizes[1] < sizes[0] + 200
+    empty = sd.RunIndex(np.empty(0, np.uint8), np.zeros(3, np.int64))
+    assert empty.later(3).tolist() == [] and empty.count(b"a") == 0
+
+
+def test_contexts_in_pieces():
+    rng = random.Random(6)
+    texts = [noise(rng, n, "abc") for n in (0, 700, 99, 100, 1500, 3)]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+
+    def windows(piece):
+        k, s, e = sd.contexts(data, offsets, 100, 32, piece)
+        return {(int(x), p) for x, a, b in zip(k, s, e, strict=True) for p in range(a, b - 99)}
+
+    whole = windows(1 << 20)
+    assert len(whole) == sum(max(len(t) - 99, 0) for t in texts)
+    assert all(windows(piece) == whole for piece in (1, 50, 100, 333, 2000))
 
 
 def brute_lines(rows):
@@ -167,9 +191,11 @@ def families():
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"small": 4, "block": 16, "hot_share": 0.0, "recall": 0.99999}])
+@pytest.mark.parametrize("how", [{}, {"small": 4, "side": 16, "recall": 0.99999}, {"small": 4, "depth": 2, "side": 8}])
 def test_near_join(spark, families, how, monkeypatch):
-    monkeypatch.setattr(jj, "SAMPLE", 2)
+    if how:
+        monkeypatch.setattr(jj, "LEAST", 16)
+        monkeypatch.setattr(jj, "MOST", 32)
     got = {r.doc_id: (r.class_id, r.n_links) for r in jj.join_near(frame(spark, families), **how).collect()}
     want = brute_links(families)
     assert got.keys() == want.keys()
@@ -179,6 +205,30 @@ def test_near_join(spark, families, how, monkeypatch):
     assert all(got[k][1] <= want[k][1] for k in want)
 
 
+def test_near_join_of_any_ids_and_lengths(spark):
+    rng = random.Random(8)
+    long = " ".join(noise(rng, 7, "abcdefgh") for _ in range(60_000))
+    near = long.replace("a", "b", 200)
+    rows = [("b7", long), ("a9", near), ("", "short text"), ("zz", "Short, text."), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: (r.class_id, r.n_links, r.is_first) for r in jj.join_near(docs).collect()}
+    assert got == {"b7": ("a9", 1, False), "a9": ("a9", 1, True), "": ("", 1, True), "zz": ("", 1, False), None: (None, 0, True)}
+    assert sorted(repr(r.doc_id) for r in jj.keep_one(docs).collect()) == sorted(map(repr, ["", None, "a9"]))
+
+
+def test_labels_spread():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 9, 40):
+        for share in (0.0, 0.02, 0.1, 1.0):
+            linked = rng.random((n, n)) < share
+            linked |= linked.T
+            want = list(range(n))
+            for _ in range(n):
+                want = [min([want[k], *(want[j] for j in range(n) if linked[k, j])]) for k in range(n)]
+            every = np.arange(n)
+            assert jj.spread_labels(linked, every, every, n).tolist() == want
+
+
 def test_near_join_on_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
     got = {r.doc_id: (r.class_id, r.n_links) for r in jj.op3_jaccard_join(spark, sf_dir).collect()}

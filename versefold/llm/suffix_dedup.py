@@ -4,15 +4,16 @@ A window is a string of `length` bytes. Each window belongs to its minimizer, th
 leftmost on ties), so equal windows belong to equal minimizers; a maximal run of windows of one minimizer occurrence is
 a context. Contexts meet by minimizer:
 
-1. map: contexts as (minimizer hash, context hash, document, start, length). Within a task, contexts that repeat one
-   are marked at once and only the first goes on.
-2. by minimizer hash: contexts equal to an earlier one are marked; where a minimizer has several different contexts,
-   the first of each goes on to an index.
+1. map: contexts as (minimizer hash, 128-bit hash of the context's bytes, document, start, length). Within a task's
+   batch, contexts that repeat one are marked at once and only the first goes on.
+2. by minimizer hash: contexts that are copies of an earlier one are marked; where a minimizer has several different
+   contexts, the first of each goes on to an index. So an index holds each text once.
 3. the texts of those contexts are cut from the documents and dealt by minimizer hash to tasks, which build run-length
-   indexes of them, a few MB at a time, in document order: a run-compressed Burrows-Wheeler transform with suffix
-   samples at its runs' ends. The matching statistics of the contexts stream from the samples: at a run's head the match
-   with the preceding suffix is compared once, and within a run it is one less at each next position. Intervals of
-   suffixes that match over `length` bytes or more hold equal windows; all but the earliest are marked.
+   indexes of them, a few MB at a time, in document order: the runs of a Burrows-Wheeler transform with suffix samples
+   at their ends; the suffix array is gone once they are taken. The matching statistics of the contexts stream from the
+   samples: at a run's head the match with the preceding suffix was compared byte by byte, and it is one less at each
+   next position. Positions that match the suffix before them over `length` bytes or more are chains of equal windows;
+   all but the earliest of a chain are marked.
 4. marks are gathered by document and the marked bytes removed.
 
 A minimizer that a large share of documents hold (found in a sample; a list of bounded length) is broken up into
@@ -26,6 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,16 +39,27 @@ LENGTH, KMER, CHUNK = 100, 32, 2 << 20
 #: Every so manieth document is in the sample, in which a minimizer is hot from this share of documents; so many at most are told to the tasks.
 SAMPLE, HOT_SHARE, HOT_MOST, LARGE = 64, 0.01, 4096, 20_000
 
+#: Bytes of a text that minimizers are found in at once; a place in them has 26 bits.
+PIECE = 1 << 25
+
 _U = np.uint64
 _LOW = _U((1 << 26) - 1)
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, length: int, kmer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Spans]:
-    """Minimizer hashes, starts and ends (in data) of the contexts of some texts."""
+def contexts(data: np.ndarray, offsets: np.ndarray, length: int, kmer: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizer hashes, starts and ends (in data) of the contexts of some texts.
+
+    Data beyond `piece` bytes is taken in pieces that share length - 1 bytes; a context over an edge is two, which changes no window's minimizer.
+    """
+    found = [(k, lo + s, lo + e) for lo in range(0, max(len(data) - length + 1, 1), piece) for k, s, e in [_contexts(data[lo : lo + piece + length - 1], offsets - lo, length, kmer)]]
+    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _contexts(data: np.ndarray, offsets: np.ndarray, length: int, kmer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     spans = Spans(data)
     n = len(data) - length + 1
     if n <= 0:
-        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64), spans
+        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
     place = np.arange(len(data) - kmer + 1)
     hashes = spans(place, place + kmer)
     least, reach, width = (hashes & ~_LOW) | place.astype(_U), 1, length - kmer + 1
@@ -54,16 +68,25 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int, kmer: int) -> t
         reach *= 2
     if reach < width:
         least = np.minimum(least[: reach - width], least[width - reach :])
-    last = np.repeat(offsets[1:] - length, np.diff(offsets))[:n]
-    starts = np.flatnonzero(np.arange(n) <= last)
+    at = np.arange(n)
+    # A window must end where its text ends, at the latest.
+    ends = offsets[1:]
+    starts = np.flatnonzero(at + length <= ends[np.minimum(np.searchsorted(ends, at, "right"), len(ends) - 1)])
     if not len(starts):
-        return np.empty(0, _U), starts, starts, spans
+        return np.empty(0, _U), starts, starts
     at = (least[starts] & _LOW).astype(np.int64)
     head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)])
-    return hashes[at[head]], starts[head], starts[np.r_[head[1:] - 1, len(starts) - 1]] + length, spans
+    return hashes[at[head]], starts[head], starts[np.r_[head[1:] - 1, len(starts) - 1]] + length
+
+
+def digests(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each span's bytes, as two columns."""
+    raw = memoryview(data.tobytes())
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(s.tolist(), e.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
-_ROW = T.StructType([long_field("k"), long_field("c"), long_field("doc"), long_field("a"), T.StructField("n", T.IntegerType())])
+_ROW = T.StructType([long_field("k"), long_field("c"), long_field("c2"), long_field("doc"), long_field("a"), T.StructField("n", T.IntegerType())])
 
 
 def _merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,27 +123,28 @@ def _candidates(docs: DataFrame, length: int, kmer: int, hot: np.ndarray) -> Dat
             parts = []
             for lo, hi in slices(offsets):
                 own = offsets[lo : hi + 1] - offsets[lo]
-                k, s, e, spans = contexts(data[offsets[lo] : offsets[hi]], own, length, kmer)
-                c = spans(s, e) ^ mix(k)
+                part = data[offsets[lo] : offsets[hi]]
+                k, s, e = contexts(part, own, length, kmer)
                 if len(hot) and len(k):
                     pick = hot[np.minimum(np.searchsorted(hot, k), len(hot) - 1)] == k
-                    if pick.any():
-                        _, at = _windows(k, s, e, pick, length)
-                        h = spans(at, at + length)
-                        k, c = np.r_[k[~pick], mix(h + _U(1))], np.r_[c[~pick], h]
-                        s, e = np.r_[s[~pick], at], np.r_[e[~pick], at + length]
+                    _, at = _windows(k, s, e, pick, length)
+                    k, s, e = k[~pick], np.r_[s[~pick], at], np.r_[e[~pick], at + length]
+                c, c2 = digests(part, s, e)
+                # A window by itself is its own minimizer.
+                k = np.r_[k, mix(c[len(k) :].view(_U) + _U(1))]
                 d = np.searchsorted(own, s, "right") - 1
-                parts.append((k, c, ids[lo + d], s - own[d], e - own[d]))
+                parts.append((k, c, c2, ids[lo + d], s - own[d], e - own[d]))
             if not parts:
                 continue
-            k, c, doc, a, e = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((a, doc, c, k))
-            k, c, doc, a, e = k[order], c[order], doc[order], a[order], e[order]
-            first = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])] if len(k) else np.empty(0, bool)
+            k, c, c2, doc, a, e = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((a, doc, c2, c, k))
+            k, c, c2, doc, a, e = (x[order] for x in (k, c, c2, doc, a, e))
+            first = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])] if len(k) else np.empty(0, bool)
             d, s, t = _merged(doc[~first], a[~first], e[~first])
-            k, c = np.r_[k[first], mix(d.astype(_U) * _U(31) + s.astype(_U))], np.r_[c[first], np.zeros(len(d), _U)]
+            none = np.zeros(len(d), np.int64)
+            k = np.r_[k[first], mix(d.astype(_U) * _U(31) + s.astype(_U))]
             n = np.r_[(e - a)[first], s - t]
-            columns = [pa.array(k.view(np.int64)), pa.array(c.view(np.int64)), pa.array(np.r_[doc[first], d]), pa.array(np.r_[a[first], s]), pa.array(n.astype(np.int32))]
+            columns = [pa.array(k.view(np.int64)), pa.array(np.r_[c[first], none]), pa.array(np.r_[c2[first], none]), pa.array(np.r_[doc[first], d]), pa.array(np.r_[a[first], s]), pa.array(n.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=_ROW.names)
 
     return docs.select(F.col("__vf_id"), F.col("__vf_text")).mapInArrow(run, _ROW)
@@ -147,82 +171,122 @@ def _hot(docs: DataFrame, length: int, kmer: int, share: float) -> np.ndarray:
 class RunIndex:
     """A run-length index of some strings: the runs of their Burrows-Wheeler transform, with suffix samples at the runs' ends.
 
-    The strings end in separators of their own, smaller than any byte and in the strings' order.
+    The strings end in separators of their own, smaller than any byte and in the strings' order. What is kept grows with
+    the runs, not with the text: for each run its symbol and first row, and for each run's first suffix the place of that
+    suffix (a head), the suffix before it in order and how far both match. Between heads both move on with the text: at
+    the next place the suffix before is that before the last one moved on, and the match is one byte shorter.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.n, m = len(data), len(offsets) - 1
         size = np.diff(offsets)
-        self.data, self.string = data, np.repeat(np.arange(m), size)
-        self.left = np.repeat(offsets[1:], size) - np.arange(self.n)
-        self.suffixes = self._sorted(m)
-        before = self.suffixes - 1
-        starts = self.left[before] == 1
-        starts |= before < 0
-        last = np.where(starts, 256, data[before].astype(np.int16))
-        self.heads = np.flatnonzero(np.r_[True, (last[1:] != last[:-1]) | (last[1:] == 256)]) if self.n else np.empty(0, np.int64)
-        self.runs = last[self.heads]
-        self.at_head = self.suffixes[self.heads]
-        self.at_end = self.suffixes[np.r_[self.heads[1:] - 1, self.n - 1]] if self.n else self.at_head
-
-    def _sorted(self, m: int) -> np.ndarray:
-        """The suffix array, by prefix doubling from seven bytes."""
-        padded = np.zeros(self.n + 7, np.int64)
-        padded[: self.n] = self.data.astype(np.int64) + 1
-        key = np.zeros(self.n, np.int64)
-        for t in range(7):
-            key = (key << 9) | np.where(self.left > t, padded[t : t + self.n], 0)
-        depth = 7
-        while True:
-            order = np.argsort(key)
-            ranked = key[order]
-            new = np.r_[False, ranked[1:] != ranked[:-1]]
-            rank = np.empty(self.n, np.int64)
-            rank[order] = np.cumsum(new)
-            if self.n == 0 or rank[order[-1]] == self.n - 1:
-                return order
-            beyond = self.left > depth
-            second = self.string.copy()
-            second[beyond] = rank[np.flatnonzero(beyond) + depth] + m
-            key = rank * (self.n + m + 1) + second
-            depth *= 2
-
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Lengths of the common prefixes of suffixes, compared eight bytes at a time."""
-        padded = np.zeros(self.n + 8, np.uint8)
-        padded[: self.n] = self.data
-        eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-        most = np.minimum(self.left[a], self.left[b])
-        out = np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
-        while len(live):
-            x, y = a[live] + out[live], b[live] + out[live]
-            same = np.cumprod(eight[x] == eight[y], axis=1).sum(1)
-            out[live] += same
-            live = live[(same == 8) & (out[live] < most[live])]
-        return np.minimum(out, most)
+        self.n, self.m = len(data), int((size > 0).sum())
+        left = np.repeat(offsets[1:], size) - np.arange(self.n)
+        order = _suffixes(data, left, np.repeat(np.arange(len(size)), size), len(size))
+        before = order - 1
+        starts = (before < 0) | (left[before] == 1)
+        last = np.r_[data[offsets[1:][size > 0] - 1].astype(np.int16), np.where(starts, _END, data[before].astype(np.int16))]
+        new = np.r_[True, (last[1:] != last[:-1]) | (last[1:] == _END)] if self.n else np.zeros(0, bool)
+        if self.n:
+            new[self.m] = True
+        self.rows = np.flatnonzero(new)
+        self.runs = last[self.rows]
+        first = self.rows[self.rows >= self.m] - self.m
+        at, prior = order[first], order[np.maximum(first - 1, 0)]
+        match = _common(data, left, at, prior)
+        match[:1] = 0  # the first suffix has none before it
+        by_place = np.argsort(at)
+        self.heads, self.moves, self.match = at[by_place], (prior - at)[by_place], match[by_place]
+        # Rows of each symbol before each run, for backward search.
+        size = np.diff(np.r_[self.rows, len(last)])
+        by_symbol = np.argsort(self.runs, kind="stable")
+        self.symbols, self.symbol_rows, self.symbol_sums = self.runs[by_symbol], self.rows[by_symbol], np.r_[0, np.cumsum(size[by_symbol])]
+        self.less = self.m + np.r_[0, np.cumsum(np.bincount(data, minlength=256))]
+
+    def _rank(self, symbol: int, row: int) -> int:
+        """How many rows before this one have the symbol."""
+        lo, hi = np.searchsorted(self.symbols, [symbol, symbol + 1])
+        k = lo + int(np.searchsorted(self.symbol_rows[lo:hi], row))
+        if k == lo:
+            return 0
+        run = self.symbol_sums[k] - self.symbol_sums[k - 1]
+        return int(self.symbol_sums[k - 1] - self.symbol_sums[lo] + min(run, row - self.symbol_rows[k - 1]))
+
+    def count(self, pattern: bytes) -> int:
+        """How often a string occurs, by backward search over the runs."""
+        lo, hi = 0, self.n + self.m
+        for c in reversed(pattern):
+            lo, hi = int(self.less[c]) + self._rank(c, lo), int(self.less[c]) + self._rank(c, hi)
+        return max(hi - lo, 0)
 
     def matching_statistics(self) -> np.ndarray:
-        """At each position, how far it matches the suffix that precedes it in order; only the runs' heads are compared."""
-        reach = np.full(self.n, -1, np.int64)
-        if self.n:
-            reach[self.at_head[0]] = self.at_head[0]
-            reach[self.at_head[1:]] = self.at_head[1:] + self._common(self.at_head[1:], self.at_end[:-1])
-        return np.maximum(np.maximum.accumulate(reach) - np.arange(self.n), 0) if self.n else reach
+        """At each place, how far it matches the suffix before it in order."""
+        size = np.diff(np.r_[self.heads, self.n])
+        return np.maximum(np.repeat(self.match + self.heads, size) - np.arange(self.n), 0)
 
     def later(self, length: int) -> np.ndarray:
-        """Positions whose string of this length also starts at a smaller position."""
-        if not self.n:
-            return np.empty(0, np.int64)
-        again = self.matching_statistics()[self.suffixes] >= length
-        head = np.flatnonzero(~again)
-        least = np.minimum.reduceat(self.suffixes, head)
-        first = np.zeros(self.n, bool)
-        first[least] = True
-        many = np.diff(np.r_[head, self.n]) > 1
-        inside = np.repeat(many, np.diff(np.r_[head, self.n]))
-        own = self.suffixes[inside]
-        return np.sort(own[~first[own]])
+        """Places whose string of this length also starts at a smaller place.
+
+        The places of a string are a chain, each tied to that of the suffix before it; ties are ranges that begin at heads.
+        """
+        size = np.minimum(np.maximum(self.match - length + 1, 0), np.diff(np.r_[self.heads, self.n]))
+        tied = np.repeat(self.heads - np.cumsum(size) + size, size) + np.arange(size.sum())
+        if not len(tied):
+            return tied
+        end = np.arange(self.n)
+        end[tied] += np.repeat(self.moves, size)
+        while True:
+            further = end[end[tied]]
+            if np.array_equal(further, end[tied]):
+                break
+            end[tied] = further
+        every = np.union1d(tied, end[tied])
+        least = np.full(self.n, self.n)
+        np.minimum.at(least, end[every], every)
+        return every[every > least[end[every]]]
+
+
+#: What stands before a string's first byte.
+_END = 256
+
+
+def _suffixes(data: np.ndarray, left: np.ndarray, string: np.ndarray, m: int) -> np.ndarray:
+    """The suffix array, by prefix doubling from seven bytes."""
+    n = len(data)
+    padded = np.zeros(n + 7, np.int64)
+    padded[:n] = data.astype(np.int64) + 1
+    key = np.zeros(n, np.int64)
+    for t in range(7):
+        key = (key << 9) | np.where(left > t, padded[t : t + n], 0)
+    depth = 7
+    while True:
+        order = np.argsort(key)
+        ranked = key[order]
+        new = np.r_[False, ranked[1:] != ranked[:-1]]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new)
+        if n == 0 or rank[order[-1]] == n - 1:
+            return order
+        beyond = left > depth
+        second = string.copy()
+        second[beyond] = rank[np.flatnonzero(beyond) + depth] + m
+        key = rank * (n + m + 1) + second
+        depth *= 2
+
+
+def _common(data: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of suffixes, compared eight bytes at a time."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    most = np.minimum(left[a], left[b])
+    out = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    while len(live):
+        x, y = a[live] + out[live], b[live] + out[live]
+        same = np.cumprod(eight[x] == eight[y], axis=1).sum(1)
+        out[live] += same
+        live = live[(same == 8) & (out[live] < most[live])]
+    return np.minimum(out, most)
 
 
 _SPAN = T.StructType([long_field("doc"), long_field("a"), T.StructField("n", T.IntegerType())])
@@ -230,7 +294,7 @@ _TEXT = T.StructType([long_field("k"), long_field("doc"), long_field("a"), T.Str
 
 
 def _indexed(rows: DataFrame, length: int, chunk: int) -> DataFrame:
-    """Step 3: rows (k, doc, a, t), dealt and sorted by k, doc, a; the spans that earlier ones cover."""
+    """Step 3: rows (k, doc, a, t), dealt and sorted by k, doc, a; the spans that earlier ones cover. A row without t is a window that repeats one of its batch."""
 
     def spans(ks: list, docs: list, starts: list, texts: list) -> pa.RecordBatch:
         doc, a = np.concatenate(docs), np.concatenate(starts)
@@ -250,10 +314,14 @@ def _indexed(rows: DataFrame, length: int, chunk: int) -> DataFrame:
         held: tuple[list, list, list, list] = ([], [], [], [])
         size = 0
         for batch in batches:
+            again = batch.filter(pc.is_null(batch.column(3)))
+            if len(again):
+                yield pa.RecordBatch.from_arrays([again.column(1), again.column(2), pa.array(np.full(len(again), -length, np.int32))], names=_SPAN.names)
+            batch = batch.filter(pc.is_valid(batch.column(3)))
             k = batch.column(0).to_numpy()
             doc, a = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             data, offsets = utf8(batch.column(3))
-            cuts = [0, *np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)]
+            cuts = [0, *np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)] if len(k) else []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if size > chunk and held[0][-1] != k[lo]:
                     yield spans(*held)
@@ -270,7 +338,7 @@ def _indexed(rows: DataFrame, length: int, chunk: int) -> DataFrame:
 
 
 def _cut(docs: DataFrame, length: int) -> DataFrame:
-    """The texts of the contexts that go on (rows with m = 0), or of their windows, each its own key (m = 1)."""
+    """The texts of the contexts that go on (rows with m = 0), or of their windows, each its own key (m = 1); null for those that repeat one of the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,27 +349,27 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
             k, a, n, m = (v.field(x).to_numpy(zero_copy_only=False) for x in ("k", "a", "n", "m"))
             s = offsets[row] + a
             e = s + n
+            gone = np.zeros(len(k), bool)
             if m.any():
                 which, at = _windows(k.view(_U), s, e, m.astype(bool), length)
-                windows = [data[x : x + length].tobytes() for x in at.tolist()]
-                h = np.array([hash_of(x) for x in windows], np.int64)
+                order = np.lexsort((at, ids[row[which]]))  # by document and place: of equal windows only the first goes on
+                which, at = which[order], at[order]
+                h, h2 = digests(data, at, at + length)
+                order = np.lexsort((np.arange(len(h)), h2, h))
+                again = np.zeros(len(h), bool)
+                again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
                 pick = m == 0
                 k, row, a, s, e = np.r_[k[pick], h], np.r_[row[pick], row[which]], np.r_[a[pick], at - offsets[row[which]]], np.r_[s[pick], at], np.r_[e[pick], at + length]
+                gone = np.r_[gone[pick], again]
             raw = data.tobytes()
             for lo in range(0, len(k), 50_000):
                 part = slice(lo, lo + 50_000)
-                texts = [raw[x:y] for x, y in zip(s[part].tolist(), e[part].tolist(), strict=True)]
+                texts = [None if z else raw[x:y] for x, y, z in zip(s[part].tolist(), e[part].tolist(), gone[part].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(ids[row[part]]), pa.array(a[part]), pa.array(texts, pa.binary())], names=_TEXT.names)
 
     return docs.mapInArrow(run, _TEXT)
 
 
-def hash_of(b: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(b) - (1 << 63)
-
-
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, kmer: int = KMER, chunk: int = CHUNK, hot_share: float = HOT_SHARE, large: int = LARGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary: what is left of the text's UTF-8).
 
@@ -312,9 +380,9 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, kmer: int = KMER, c
     """
     slim, pairs = with_ids(docs, doc_id, text)
     rows = _candidates(slim, length, kmer, _hot(slim, length, kmer, hot_share))
-    by = Window.partitionBy("k").orderBy("c", "doc", "a")
-    whole = Window.partitionBy("k").orderBy("c", "doc", "a").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marked = rows.withColumn("first", F.lag("c").over(by).isNull() | (F.lag("c").over(by) != F.col("c")))
+    by = Window.partitionBy("k").orderBy("c", "c2", "doc", "a")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = rows.withColumn("first", F.lag("c").over(by).isNull() | (F.lag("c").over(by) != F.col("c")) | (F.lag("c2").over(by) != F.col("c2")))
     marked = marked.withColumn("m", F.sum(F.when(F.col("first") & (F.col("n") > 0), 1).otherwise(0)).over(whole))
     marked = marked.withColumn("span", (F.col("n") < 0) | ~F.col("first")).where(F.col("span") | (F.col("m") > 1))
     marked = marked.select("doc", "a", F.when(F.col("span"), -F.abs("n")).otherwise(F.col("n")).alias("n"), F.when(F.col("span"), 0).otherwise(F.col("k")).alias("k"), F.when(F.col("m") > large, 1).otherwise(0).alias("m"))
