@@ -331,18 +331,18 @@ def _candidates(nodes: DataFrame, threshold: float, branch: float, n_runs: int,
     leaves = None
     for _ in range(depth - 1):
         level = shared_table(level)
-        kids = _next_level(level, threshold, branch)
-        # A kid's key comes of its parent's, so a key has one parent.
-        size = shared_checkpoint(kids.groupBy("key").agg(F.first("parent").alias("parent"), F.first("m").alias("m"), F.count("*").alias("c")).where(F.col("c") > small))
-        tight = size.groupBy("parent").agg(F.max("c").alias("c"), F.first("m").alias("m")).where(F.col("c") >= F.col("m") * FAMILY).select(F.col("parent").alias("key"))
-        tight = shared_checkpoint(tight)
+        # Whether splitting a bucket makes it smaller shows on a few of its sets; it decides the way, not the result.
+        few = level.where(F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("m") / small)) == 0)
+        most = _next_level(few, threshold, branch).groupBy("parent", "key").agg(F.count("*").alias("c")).groupBy(F.col("parent").alias("key")).agg(F.max("c").alias("c"))
+        tight = shared_checkpoint(few.groupBy("key").agg(F.count("*").alias("s")).join(most, "key").where(F.col("c") >= F.col("s") * FAMILY).select("key"))
         whole = level.join(tight, "key", "left_semi").drop("pool")
         leaves = whole if leaves is None else leaves.unionByName(whole)
-        kids = kids.join(tight.withColumnRenamed("key", "parent"), "parent", "left_anti").drop("parent", "m")
+        # A kid's key comes of its parent's, so a key has one parent.
+        kids = _next_level(level.join(tight, "key", "left_anti"), threshold, branch).drop("parent", "m")
+        size = shared_checkpoint(kids.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > small))
         edges = edges.unionByName(_small_buckets(kids.join(size, "key", "left_anti"), threshold))
-        more = size.join(tight.withColumnRenamed("key", "parent"), "parent", "left_anti").select("key", F.col("c").alias("m"))
-        level = kids.select("key", "id").join(more, "key").join(by_id, "id")
-        if more.isEmpty():
+        level = kids.select("key", "id").join(size, "key").join(by_id, "id")
+        if size.isEmpty():
             level = None
             break
     if level is not None:
