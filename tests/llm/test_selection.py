@@ -133,6 +133,17 @@ def test_mix(spark, sources):
     key = lambda r: repr(tuple(r))
     again = mx.mix(df.repartition(5).orderBy(F.rand(1)), labels).collect()
     assert sorted(rows, key=key) == sorted(again, key=key)
+    # Which documents the last, partial epoch takes: those of the least keys until the words are used up.
+    graded = df.join(labels.groupBy("doc_id").agg(F.max("quality").alias("q")), "doc_id", "left").select("doc_id", "source", "text", mx.sampling_key(F.col("doc_id"), mx.sampling_weight(F.col("q"))).alias("k")).collect()
+    want = []
+    for s in sizes:
+        left = round(target[s]) - int(target[s] // sizes[s]) * sizes[s] if sizes[s] else 0
+        for r in sorted((r for r in graded if r.source == s), key=lambda r: (r.k, r.doc_id is not None, r.doc_id or 0, len((r.text or "").split()))):
+            n = len((r.text or "").split())
+            part = max(0, min(n, left))
+            want.append((r.doc_id or -1, s, n, (int(target[s] // sizes[s]) if sizes[s] else 0) * n + part))
+            left -= part
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id or -1, r.source, r.size, r.taken)) for r in rows)
     # Each document has whole epochs before any has a part of another.
     for s in sizes:
         own = [r for r in rows if r.source == s and r.size]
@@ -199,3 +210,17 @@ def test_words_that_a_polynomial_hash_confuses(spark):
     starts, ends, hashes, _ = common.words(data, np.array([0, len(data)]))
     spelled = [data[x:y].tobytes() for x, y in zip(starts, ends, strict=True)]
     assert len(set(hashes.tolist())) == len(set(spelled)) == len(spelled) - 1
+
+
+def test_mix_of_nothing(spark, sources):
+    df = spark.createDataFrame([(i, t, s) for i, t, s in sources], "doc_id long, text string, source string")
+    assert mx.mix(df.limit(0)).count() == 0
+    assert [r.taken for r in mx.mix(df.withColumn("text", F.lit(None).cast("string"))).collect()] == [0] * len(sources)
+
+
+def test_keys_follow_weights(spark):
+    """Of many pairs of one good and one poor document, the good one comes first by its weight's share; no bin is large, whatever the weight."""
+    keys = spark.range(40_000).select("id", *[mx.sampling_key(F.col("id") + n, F.lit(w)).alias(f"k{n}") for n, w in ((0, 1.0), (50_000, 0.3))])
+    assert abs(keys.where("k0 < k50000").count() / 40_000 - 1 / 1.3) < 0.01
+    for c in ("k0", "k50000"):
+        assert keys.groupBy(F.floor(F.log(c) * mx.COARSE)).count().agg(F.max("count")).first()[0] < 0.02 * 40_000
