@@ -143,6 +143,8 @@ def test_line_dedup(spark, repetitive):
     assert sorted((r.doc_id or -1, r.n_lines, r.n_dropped, r.text or "") for r in got.collect()) == brute_lines(rows)
     assert got.columns == [c for c in frame(spark, []).columns if c != "n_lines"] + ["n_lines", "n_dropped"]
     assert ld.drop_repeated_lines(frame(spark, [])).count() == 0
+    named = spark.createDataFrame([(chr(97 + i), "k" * 50 + f"\n{i}") for i in range(6)], "doc_id string, text string")
+    assert {r.doc_id: r.n_dropped for r in ld.drop_repeated_lines(named).collect()} == {**dict.fromkeys("abcde", 1), "f": 0}
 
 
 def brute_links(rows, threshold=0.8):
@@ -191,7 +193,7 @@ def families():
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"small": 4, "side": 16, "recall": 0.99999}, {"small": 4, "depth": 2, "side": 8}])
+@pytest.mark.parametrize("how", [{}, {"small": 4, "side": 16, "pivots": 4, "recall": 0.99999}, {"small": 4, "depth": 2, "side": 8, "pivots": 2}])
 def test_near_join(spark, families, how, monkeypatch):
     if how:
         monkeypatch.setattr(jj, "LEAST", 16)

@@ -7,7 +7,7 @@ Runs repeat until the target recall (`runs`). Equal sets are one node from the s
 bucket twice. All levels and runs choose from one pool of sampled tokens that each set carries.
 
 A bucket that splitting doesn't make smaller holds either a family of near copies or sets that share one passage. It is
-dealt out in blocks: all are compared with a block of pivots, and those that are near to none of them with all others
+dealt out in blocks: all sets are compared with some pivots, and those that are near to none of them with all others
 (a family costs its length, not its square). Nothing is dropped for its size: bucket sizes are counted over all sets
 before rows are shuffled, so no task gathers a large bucket.
 
@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from .common import long_field, mix, named_again, shared_checkpoint, shared_table, shingles, slices, table, utf8, with_ids, words
 
-#: Sets of a bucket that are compared by brute force; levels; sets of a block of a bucket that isn't split further.
-WIDTH, THRESHOLD, RECALL, BRANCH, SMALL, DEPTH, SIDE = 5, 0.8, 0.999, 1.5, 256, 3, 512
+#: Sets of a bucket that are compared by brute force; levels; sets of a block of a bucket that isn't split further, and its pivots.
+WIDTH, THRESHOLD, RECALL, BRANCH, SMALL, DEPTH, SIDE, PIVOTS = 5, 0.8, 0.999, 1.5, 256, 3, 16_384, 512
 #: Expected tokens of the pool that paths are chosen from, times the threshold; a bucket whose largest part is this share of it isn't split.
 POOL, FAMILY = 48.0, 0.5
 #: Sets of a block of a component that is verified, at least and at most, and bytes of their tokens.
@@ -272,54 +272,81 @@ def _small_buckets(rows: DataFrame, threshold: float) -> DataFrame:
     return _grouped(rows, ["key"], work, _EDGE)
 
 
-def _against(rows: DataFrame, keys: list[str], threshold: float, tell: bool) -> DataFrame:
-    """Rows (key, ..., pivot, id, n, sketch) by keys: edges that connect pivots with near ones of the others; with tell, (key, id, null) for those that are near to no pivot."""
+class Forest:
+    """Union-find over 0..n-1; the root is the least member."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, pairs: Iterator[tuple[int, int]]) -> None:
+        for x, y in pairs:
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+
+
+def _against(rows: DataFrame, keys: list[str], threshold: float, tell: bool, tile: int = 1024) -> DataFrame:
+    """Rows (key, ..., pivot, id, n, sketch) by keys: edges that connect pivots with near ones of the others, tile by tile; with tell, (key, id, null) for those that are near to no pivot."""
 
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, ids, size, pivot, sketch = (*(rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "n", "pivot")), _sketched(rows))
         cuts = _cuts(*(rows.column(k).to_numpy() for k in keys))
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            every, own = np.arange(hi - lo), pivot[lo:hi].astype(bool)
-            a, b = every[own], every[~own]
-            if not len(a):
-                a = b[:0]
-            b = b if len(b) else b[:0]
-            linked = near(sketch[lo:hi][a], sketch[lo:hi][b], size[lo:hi][a], size[lo:hi][b], threshold)
-            label = spread_labels(linked, a, b, hi - lo)
-            # A set may be here as a pivot and as one of the others; equal ids are one.
-            child = np.flatnonzero(label != every)
-            u, v = ids[lo:hi][label[child]].tolist(), ids[lo:hi][child].tolist()
-            alone = ids[lo:hi][b[~linked.any(0)]].tolist() if tell else []
+            # In order of ids, so that buckets of one family name the same root. A set may be a pivot and one of the others.
+            order = lo + np.argsort(ids[lo:hi], kind="stable")
+            own = pivot[order].astype(bool)
+            a, b = np.flatnonzero(own), np.flatnonzero(~own)
+            forest, met = Forest(hi - lo), np.zeros(hi - lo, bool)
+            for x in range(0, len(a), tile):
+                for y in range(0, len(b), tile):
+                    p, q = a[x : x + tile], b[y : y + tile]
+                    linked = near(sketch[order[p]], sketch[order[q]], size[order[p]], size[order[q]], threshold)
+                    met[q] |= linked.any(0)
+                    both = np.r_[p, q]
+                    label = spread_labels(linked, np.arange(len(p)), len(p) + np.arange(len(q)), len(both))
+                    child = np.flatnonzero(label != np.arange(len(both)))
+                    forest.join(zip(both[label[child]].tolist(), both[child].tolist(), strict=True))
+            root = np.array([forest.root(x) for x in range(hi - lo)])
+            child = np.flatnonzero(root != np.arange(hi - lo))
+            u, v = ids[order[root[child]]], ids[order[child]]
+            u, v = u[u != v].tolist(), v[u != v].tolist()
+            alone = ids[order[b[~met[b]]]].tolist() if tell else []
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u) + len(alone), key[lo])), pa.array(u + alone, pa.int64()), pa.array(v + [None] * len(alone), pa.int64())], names=_TIED.names)
 
     return _grouped(rows, keys, work, _TIED)
 
 
-def _large_buckets(rows: DataFrame, threshold: float, side: int) -> DataFrame:
+def _large_buckets(rows: DataFrame, threshold: float, side: int, pivots: int) -> DataFrame:
     """Edges (u, v) that connect the candidate pairs of buckets that aren't split: rows (key, m, id, n, sketch), m in a bucket.
 
-    A bucket is dealt in blocks of about `side`. Each meets the first, the pivots; what is near to no pivot meets all blocks.
+    A bucket is dealt in blocks of about `side`. Each meets the pivots, some `pivots` of the bucket's sets; what is near
+    to no pivot meets all blocks.
     """
     blocks = F.ceil(F.col("m") / side).cast("int")
-    rows = shared_table(rows.withColumn("b", blocks).withColumn("j", F.pmod(F.xxhash64("id", "key"), blocks.cast("long")).cast("int")))
+    first = F.pmod(F.xxhash64("key", "id"), F.ceil(F.col("m") / pivots)) == 0
+    rows = shared_table(rows.withColumn("b", blocks).withColumn("first", first).withColumn("j", F.pmod(F.xxhash64("id", "key"), blocks.cast("long")).cast("int")))
     others = rows.withColumn("pivot", F.lit(False))
-    pivots = rows.where("j = 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).withColumn("pivot", F.lit(True))
-    found = shared_checkpoint(_against(others.unionByName(pivots).drop("m", "b"), ["key", "j"], threshold, True))
+    heads = rows.where("first").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).withColumn("pivot", F.lit(True))
+    found = shared_checkpoint(_against(others.unionByName(heads).drop("m", "b", "first"), ["key", "j"], threshold, True))
     edges = found.where("v is not null").select("u", "v")
     alone = found.where("v is null").select("key", F.col("u").alias("id"))
     if alone.isEmpty():
         return edges
-    alone = alone.join(alone.groupBy("key").agg(F.count("*").alias("r")), "key")
-    parts = F.ceil(F.col("r") / side).cast("int")
-    rest = rows.join(alone, ["key", "id"]).withColumn("parts", parts).withColumn("i", F.pmod(F.xxhash64("id", "key", F.lit(1)), parts.cast("long")).cast("int"))
+    sizes = shared_checkpoint(alone.groupBy("key").agg(F.ceil(F.count("*") / side).cast("int").alias("parts")))
+    rest = rows.join(alone, ["key", "id"]).join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("id", "key", F.lit(1)), F.col("parts").cast("long")).cast("int"))
     heads = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).withColumn("pivot", F.lit(True))
-    sizes = alone.select("key", parts.alias("parts")).distinct()
     every = rows.join(sizes, "key").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("pivot", F.lit(False))
     names = ["key", "i", "j", "pivot", "id", "n", "sketch"]
     return edges.unionByName(_against(heads.select(*names).unionByName(every.select(*names)), ["key", "i", "j"], threshold, False).select("u", "v"))
 
 
-def _candidates(nodes: DataFrame, threshold: float, branch: float, n_runs: int, small: int, depth: int, side: int) -> DataFrame:
+def _candidates(nodes: DataFrame, threshold: float, branch: float, n_runs: int, small: int, depth: int, side: int, pivots: int) -> DataFrame:
     """Edges (u, v) that connect the candidate pairs of all buckets. nodes: (id, n, sketch, pool)."""
     keys = _first_level(nodes, threshold, branch, n_runs, keys_only=True)
     large = shared_checkpoint(keys.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > small))
@@ -347,7 +374,7 @@ def _candidates(nodes: DataFrame, threshold: float, branch: float, n_runs: int,
             break
     if level is not None:
         leaves = level.drop("pool") if leaves is None else leaves.unionByName(level.drop("pool"))
-    return edges.unionByName(_large_buckets(leaves.select("key", "m", "id", "n", "sketch"), threshold, side))
+    return edges.unionByName(_large_buckets(leaves.select("key", "m", "id", "n", "sketch"), threshold, side, pivots))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -432,7 +459,7 @@ def _sets(members: DataFrame, width: int) -> DataFrame:
     return members.mapInArrow(run, schema)
 
 
-def join_near(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, branch: float = BRANCH, small: int = SMALL, depth: int = DEPTH, side: int = SIDE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join_near(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, branch: float = BRANCH, small: int = SMALL, depth: int = DEPTH, side: int = SIDE, pivots: int = PIVOTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with class_id, n_links and is_first (whether a row's document is the one whose doc_id is its class's).
 
     Documents are linked whose sets of `width`-word shingles (words after lower-casing A-Z, as in decontamination) have
@@ -448,7 +475,7 @@ def join_near(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHO
     # Equal sets have equal sizes, sketches and pools.
     same = signed.where("n > 0").groupBy("sa", "sb").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("pool").alias("pool"))
     nodes = shared_table(same)
-    edges = _candidates(nodes, threshold, branch, runs(threshold, recall, branch, depth), small, depth, side)
+    edges = _candidates(nodes, threshold, branch, runs(threshold, recall, branch, depth), small, depth, side, pivots)
     comps = components(edges)
     members = comps.join(nodes.select("id", "copies", "n"), F.col("node") == F.col("id"))
     sized = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.col("n") * F.lit(8).cast("long")).alias("bytes"))
