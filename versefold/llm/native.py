@@ -33,13 +33,22 @@ def pieces(docs: DataFrame, keep: list[str], text: str, patterns: dict[str, tupl
     return rows.select("rid", *keep, "_x.kind", "_x.i", F.length("_x.p").alias("plen"), F.right("_x.p", F.lit(CONTEXT)).alias("tail"), F.left("_x.p", F.lit(CONTEXT)).alias("head"), "_x.m")
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """pieces() with start and end of the matches, and what follows them in `head`."""
+def placed(rows: DataFrame, around: str | None = None) -> DataFrame:
+    """pieces() with start and end of the matches; `around` names a kind whose matches get the text before and after, of CONTEXT characters, as tail and head."""
     w = Window.partitionBy("rid", "kind").orderBy("i")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     size = F.coalesce(F.length("m"), F.lit(0))
     end = F.sum(F.col("plen").cast("long") + size).over(upto)
-    return rows.withColumn("end", end).withColumn("start", F.col("end") - size).withColumn("head", F.lead("head").over(w)).where("kind is null or m is not null")
+    out = rows.withColumn("end", end).withColumn("start", F.col("end") - size)
+    if around is not None:
+        # Other matches may stand close by; three of them are as many words.
+        back = lambda c, k: F.coalesce(F.right(F.lag(c, k).over(w), F.lit(CONTEXT)), F.lit(""))
+        on = lambda c, k: F.coalesce(F.left(F.lead(c, k).over(w), F.lit(CONTEXT)), F.lit(""))
+        before = F.concat(*[back(c, k) for k in (3, 2, 1) for c in ("tail", "m")], "tail")
+        after = F.concat(*[on(c, k) for k in (1, 2, 3) for c in ("head", "m")])
+        near = F.col("kind") == around
+        out = out.withColumns({"tail": F.when(near, F.right(before, F.lit(CONTEXT))), "head": F.when(near, F.left(after, F.lit(CONTEXT)))})
+    return out.where("kind is null or m is not null")
 
 
 def overlaps(rows: DataFrame, base: str) -> Column:
