@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, slices, table, utf8, words
+from .common import bounded_sample, map_batches, slices, table, utf8, words
 from .toxicity import held_out
 
 #: The training sample: so many documents of each grade at most, the first by a hash of the id.
-MOST, BITS, STEPS, RATE, RIDGE = 2000, 18, 120, 0.3, 1e-4
+MOST, BITS, STEPS, RATE, RIDGE = 2000, 18, 360, 0.6, 1e-4
+#: Bytes of the sample's texts at most.
+MOST_BYTES = 32 << 20
 #: Places for words by length and repetition; so many trigrams (a fifth as many words) of no weight are added to each text.
 SHAPES, FEW = 32, 100
 #: Added to each feature's spread before it is scaled, so that rare trigrams, which a repetitive text is full of, don't outweigh all.
@@ -67,11 +69,47 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(place[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def train(texts: list[str], grades: list[int], n_grades: int) -> Model:
-    """Fit weights and thresholds by gradient steps on the likelihood; grades are weighted to equal shares."""
-    if len(set(grades)) < 2:
-        top = max(grades, default=n_grades - 1)
-        return Model(np.zeros((1 << BITS) + SHAPES), np.array([-5.0 if k < top else 5.0 for k in range(n_grades - 1)]))
+@dataclass
+class Sample:
+    """Graded texts as counts of features: for each entry its text, its feature and its value; for each text its grade and weight."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    grade: np.ndarray
+    weight: np.ndarray
+    n_grades: int
+
+    def loss(self, w: np.ndarray, cuts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The weighted negative log-likelihood with its ridge, and its slopes. cuts: the first threshold, then the gaps between them."""
+        y, n = self.grade, self.n_grades
+        edge = np.r_[-40.0, np.cumsum(cuts), 40.0]
+        place = np.bincount(self.row, weights=self.value * w[self.column], minlength=len(y))
+        hi, lo = (1 / (1 + np.exp(-np.clip(edge[y + d] - place, -40, 40))) for d in (1, 0))
+        p = np.maximum(hi - lo, 1e-9)
+        up, down = hi * (1 - hi) / p * self.weight, lo * (1 - lo) / p * self.weight
+        d_edge = np.zeros(n + 1)
+        np.add.at(d_edge, y + 1, -up)
+        np.add.at(d_edge, y, down)
+        d_cuts = np.cumsum(d_edge[1:-1][::-1])[::-1]
+        d_w = np.bincount(self.column, weights=self.value * (up - down)[self.row], minlength=len(w)) + RIDGE * w
+        return float(-(self.weight * np.log(p)).sum() + RIDGE / 2 * (w * w).sum()), d_w, d_cuts
+
+    def fitted(self, n_features: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and cuts, by so many steps of a size that adapts to each slope's mean and spread."""
+        now = [np.zeros(n_features), np.r_[0.0, np.ones(self.n_grades - 2)]]
+        mean, square = ([np.zeros_like(x) for x in now] for _ in range(2))
+        for step in range(1, steps + 1):
+            for x, m, v, d, rate in zip(now, mean, square, self.loss(*now)[1:], (RATE / 6, RATE / 3), strict=True):
+                m += 0.1 * (d - m)
+                v += 0.01 * (d * d - v)
+                x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            now[1][1:] = np.maximum(now[1][1:], 1e-3)  # thresholds stay in order
+        return now[0], now[1]
+
+
+def counted(texts: list[str], grades: list[int], n_grades: int) -> tuple[Sample, np.ndarray, np.ndarray]:
+    """A sample, the places of its features, and what their values were divided by. Grades are weighted to equal shares."""
     index, value, row = [], [], []
     for i, t in enumerate(texts):
         data = np.frombuffer(t.encode(), np.uint8)
@@ -84,62 +122,48 @@ def train(texts: list[str], grades: list[int], n_grades: int) -> Model:
     used, column = np.unique(index, return_inverse=True)
     y = np.array(grades)
     share = np.bincount(y, minlength=n_grades)
-    weight = (1 / np.maximum(share, 1))[y] / (share > 0).sum()
     spread = np.sqrt(np.bincount(column, weights=value * value, minlength=len(used)) / len(texts)) + DAMP
-    value = value / spread[column]
-    w, cuts = np.zeros(len(used)), np.array([0.0, *[1.0] * (n_grades - 2)])  # the first threshold, then gaps
-    mw, mc, vw, vc = np.zeros_like(w), np.zeros_like(cuts), np.zeros_like(w), np.zeros_like(cuts)
-    for step in range(1, STEPS + 1):
-        at = np.cumsum(np.r_[cuts[0], np.maximum(cuts[1:], 1e-3)])
-        place = np.bincount(row, weights=value * w[column], minlength=len(texts))
-        edge = np.r_[-40.0, at, 40.0]
-        hi, lo = (1 / (1 + np.exp(-np.clip(edge[y + d] - place, -40, 40))) for d in (1, 0))
-        p = np.maximum(hi - lo, 1e-9)
-        up, down = hi * (1 - hi) / p * weight, lo * (1 - lo) / p * weight
-        d_place = up - down  # of the loss
-        d_edge = np.zeros(n_grades + 1)
-        np.add.at(d_edge, y + 1, -up)
-        np.add.at(d_edge, y, down)
-        d_at = d_edge[1:-1]
-        d_cuts = np.array([d_at[k:].sum() for k in range(len(cuts))])
-        d_w = np.bincount(column, weights=value * d_place[row], minlength=len(used)) + RIDGE * w
-        for x, m, v, d, rate in ((w, mw, vw, d_w, RATE / 6), (cuts, mc, vc, d_cuts, RATE / 3)):
-            m += 0.1 * (d - m)
-            v += 0.01 * (d * d - v)
-            x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        cuts[1:] = np.maximum(cuts[1:], 1e-3)
+    return Sample(row, column, value / spread[column], y, (1 / np.maximum(share, 1))[y] / (share > 0).sum(), n_grades), used, spread
+
+
+def train(texts: list[str], grades: list[int], n_grades: int) -> Model:
+    """Fit one vector of weights and n_grades - 1 ordered thresholds. Without two grades, all texts get the one there is."""
+    if len(set(grades)) < 2:
+        top = max(grades, default=n_grades - 1)
+        return Model(np.zeros((1 << BITS) + SHAPES), np.array([-5.0 if k < top else 5.0 for k in range(n_grades - 1)]))
+    sample, used, spread = counted(texts, grades, n_grades)
+    w, cuts = sample.fitted(len(used))
     weights = np.zeros((1 << BITS) + SHAPES)
     weights[used] = w / spread
     return Model(weights, np.cumsum(cuts))
 
 
-#: Grades of labels: 0 poor, 1 well written but toxic, 2 good.
-N_GRADES = 3
+#: Grades that the labels give: 0 poor, 1 good. The regression takes any number of them.
+N_GRADES = 2
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade); of an id's several labels the least grade counts, labels with nulls don't."""
-    grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
-    return labels.where("doc_id is not null").select("doc_id", grade.alias("grade")).where("grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    """(doc_id, grade): the labels' quality, and nothing else; of an id's several labels the least grade counts, labels with nulls don't."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").between(0, N_GRADES - 1))
+    return rows.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("grade"))
 
 
-def fit(docs: DataFrame, grades: DataFrame, n_grades: int = N_GRADES, most: int = MOST) -> Model:
-    """Train on graded documents that aren't held out (crc32 of the id modulo 4 is 2): `most` of each grade at most, the first by a hash of the id."""
+def fit(docs: DataFrame, grades: DataFrame, n_grades: int = N_GRADES, most: int = MOST, most_bytes: int = MOST_BYTES) -> Model:
+    """Train on graded documents that aren't held out (crc32 of the id modulo 4 is 2): the ids of `most` of each grade at most, the first by a hash of the id, and most_bytes of their texts."""
     rows = grades.where(~held_out(F.col("doc_id")))
     some = None
     for g in range(n_grades):
         part = rows.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         some = part if some is None else some.unionByName(part)
-    texts = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t")).where("_t is not null")
-    found = texts.join(F.broadcast(some), F.col("_d") == F.col("doc_id")).select("_d", "_t", "grade").collect()
-    found.sort(key=lambda r: (r["_d"], r["_t"]))
-    return train([r["_t"] for r in found], [r["grade"] for r in found], n_grades)
+    found = bounded_sample(docs, some, most_bytes)
+    return train([r["t"] for r in found], [r["grade"] for r in found], n_grades)
 
 
 def rate(docs: DataFrame, model: Model, least: int = 1, keep_from: float = 0.5, text: str = "text") -> DataFrame:
     """docs with expected_grade, tail_probability (of grade `least` or more), grade (the likeliest) and keep (tail_probability >= keep_from).
 
-    Null and empty texts are placed at 0 on the line, and short ones near it. Columns of these names are replaced.
+    Null and empty texts are placed at 0 on the line, and short ones near it; whole texts count, however long. Rows with
+    equal texts get equal values. Columns of these names are replaced, others pass through.
     """
 
     def fn(batch: pa.RecordBatch) -> dict:
