@@ -51,6 +51,70 @@ def test_kernel_against_plain_sums():
         assert got == pytest.approx([plain(x, w) for x in words], rel=1e-4)
 
 
+def plain_kernel(s, t, p=tx.ORDER, d=tx.DECAY):
+    from itertools import combinations
+
+    sums = [{}, {}]
+    for x, out in ((s, sums[0]), (t, sums[1])):
+        for at in combinations(range(len(x)), p):
+            if "\0" not in (u := "".join(x[i] for i in at)):
+                out[u] = out.get(u, 0) + d ** (at[-1] - at[0] + 1)
+    return sum(v * sums[1].get(u, 0) for u, v in sums[0].items())
+
+
+def plain_likeness(text, mark):
+    """The best window's normalised kernel above the floor, with no window passed over."""
+    room = len(mark) + max(tx.SLACK, len(mark.strip("^$")) - 1)
+    best = 0.0
+    for lo in range(max(1, len(text) - room + 1)):
+        window = "".join(c if c in mark else "\0" for c in text[lo : lo + room])
+        own = plain_kernel(window, window)
+        if own:
+            best = max(best, plain_kernel(window, mark) / (own * plain_kernel(mark, mark)) ** 0.5)
+    return max(best - tx.FLOOR, 0) / (1 - tx.FLOOR)
+
+
+def test_likeness_against_plain_sums():
+    rng = random.Random(4)
+    marks = ["^idiot$", "^scum$", "^stup", "^moron$"]
+    words = ["^idiot$", "^idixot$", "^ixdxixoxt$", "^idot$", "^toidi$", "^scxuxm$", "^stuplid$", "^mroon$", "^oron$", "^zz$"]
+    words += ["^" + "".join(rng.choice("idotscumrnpx") for _ in range(rng.randint(1, 18))) + "$" for _ in range(150)]
+    got = tx.kernel(words, marks, tx.WIDTH)
+    want = [[plain_likeness(w, m) for m in marks] for w in words]
+    assert got == pytest.approx(np.array(want), abs=1e-4)
+    assert got[0][0] == pytest.approx(1) and got[1][0] > 0.5 and got[2][0] > 0
+
+
+def test_scores_against_a_plain_model(model):
+    """Sentence by sentence, term by term, with the model's weights."""
+    import math
+
+    texts = [*corpus(25, seed=12)[0], "Ra ten sn4rvik, mi. Dor s n a r v i k es! gloopxfink\nten", "quis-bert", None]
+    for text, score in zip(texts, model.scores(texts), strict=True):
+        top = model.bias
+        low = (text or "").lower()
+        for sentence in tx._SENTENCE.split(low):
+            terms = {tx.term(t) for t in tx.tokens(sentence)} - {""}
+            row = [max([plain_likeness(f"^{t}$", m) for t in terms], default=0.0) for m in model.landmarks]
+            if any(row):
+                top = max(top, float(np.array(row) @ model.whiten @ model.weights + model.bias))
+        assert score == pytest.approx(1 / (1 + math.exp(-(model.slope * top + model.shift))), abs=1e-3)
+
+
+def test_too_few_letters_are_never_alike():
+    """What least_shared passes over is at or below the floor, in the worst case too: a window with all but so many letters in place."""
+    from itertools import combinations
+
+    for mark in ("^idiot$", "^trash$", "^scum$", "^worth", "^banana$"):
+        inner = mark.strip("^$")
+        for lack in range(len(inner) - tx.least_shared(mark) + 1, len(inner) + 1):
+            for gone in combinations(range(len(inner)), lack):
+                at = {k + mark.index(inner) for k in gone}
+                window = "".join("\0" if k in at else c for k, c in enumerate(mark))
+                own = plain_kernel(window, window)
+                assert not own or plain_kernel(window, mark) / (own * plain_kernel(mark, mark)) ** 0.5 <= tx.FLOOR + 1e-9
+
+
 def test_held_out_accuracy(model):
     texts, toxic = corpus(400, seed=2)
     s = model.scores(texts)
@@ -146,6 +210,61 @@ def test_ordinal(graded):
     assert ((tails[:, 0] >= 0.5) == (y >= 1)).mean() > 0.95
 
 
+def test_fit_against_a_plain_optimiser(graded):
+    texts, grades = graded
+    four = [g + (k % 2 if g == 2 else 0) for k, g in enumerate(grades)]
+    sample, used, _ = ql.counted(texts[:200], four[:200], 4)
+    rng = np.random.default_rng(3)
+    w, cuts = rng.normal(0, 0.3, len(used)), np.array([-0.5, 0.7, 1.1])
+    _, d_w, d_cuts = sample.loss(w, cuts)
+    for k in rng.integers(0, len(used), 20).tolist():
+        step = np.zeros(len(used))
+        step[k] = 1e-5
+        assert d_w[k] == pytest.approx((sample.loss(w + step, cuts)[0] - sample.loss(w - step, cuts)[0]) / 2e-5, rel=1e-3, abs=1e-7)
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-5
+        assert d_cuts[k] == pytest.approx((sample.loss(w, cuts + step)[0] - sample.loss(w, cuts - step)[0]) / 2e-5, rel=1e-3, abs=1e-7)
+    fitted = sample.fitted(len(used))
+    # Plain descent with halved steps, from the same start.
+    x = [np.zeros(len(used)), np.array([0.0, 1.0, 1.0])]
+    now, rate = sample.loss(*x), 1.0
+    for _ in range(3000):
+        new = [x[0] - rate * now[1], np.r_[x[1][0] - rate * now[2][0], np.maximum(x[1][1:] - rate * now[2][1:], 1e-3)]]
+        then = sample.loss(*new)
+        if then[0] < now[0]:
+            x, now, rate = new, then, rate * 1.2
+        else:
+            rate /= 2
+    assert sample.loss(*fitted)[0] <= 1.05 * now[0] + 0.01
+    assert (fitted[1][1:] > 0).all()
+
+
+def test_samples_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from versefold.llm.common import bounded_sample
+
+    rows = [(1, f"text {k} " + "x" * 900) for k in range(400)] + [(2, "y" * 50_000), (2, "z"), (2, "z"), (3, None), (4, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, grade int")
+    got = bounded_sample(docs, ids, 100_000)
+    assert 60 < len(got) < 110 and sum(len(r["t"]) for r in got) <= 100_000
+    assert {(r["d"], r["grade"]) for r in got} <= {(1, 0), (2, 1)} and max(len(r["t"]) for r in got) < 1000
+    assert got == bounded_sample(docs.orderBy(F.rand(1)), ids, 100_000)
+    assert [(r["d"], r["t"]) for r in bounded_sample(docs.where("doc_id > 1"), ids, 10_000_000)] == [(2, "y" * 50_000), (2, "z")]
+    assert bounded_sample(docs.limit(0), ids, 1000) == []
+
+
+def test_no_documents_and_clashing_columns(spark, model, graded):
+    df = spark.createDataFrame([(1, "ra snarvik", "s", "p", 5)], "doc_id long, text string, score string, predicted string, keep int")
+    (row,) = tx.score(df, model).collect()
+    assert (row.doc_id, row.keep, row.predicted) == (1, 5, 1) and 0.3 <= row.score <= 1
+    rater = ql.train(graded[0][:100], graded[1][:100], 3)
+    (row,) = ql.rate(df, rater).collect()
+    assert (row.score, row.predicted) == ("s", "p") and row.keep in (True, False)
+    assert tx.score(df.limit(0), model).count() == ql.rate(df.limit(0), rater).count() == 0
+
+
 def test_rate(spark, graded):
     texts, grades = graded
     model = ql.train(texts[:300], grades[:300], 3)

@@ -17,6 +17,8 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, table
+from .common import bounded_sample, map_batches, table
 
 #: The training sample: so many labelled documents of each class at most, the first by a hash of the id.
-MOST_TOXIC, MOST_CLEAN = 1500, 3000
-LANDMARKS, ORDER, DECAY, FLOOR, GATE = 64, 3, 0.85, 0.6, 0.75
+MOST_TOXIC, MOST_CLEAN = 3000, 6000
+#: Bytes of the sample's texts at most.
+MOST_BYTES = 48 << 20
+LANDMARKS, ORDER, DECAY, FLOOR = 64, 3, 0.85, 0.6
 #: Code points of a landmark at most; inserted ones that a window has room for at least; code points of a piece of a longer term (two windows at least).
 WIDTH, SLACK, PIECE = 24, 2, 96
 #: Toxic documents of the sample that a landmark must be in.
@@ -37,6 +41,8 @@ LEAST = 3
 #: The stretched kernel from which a sentence is taken to hold a landmark at first.
 STRONG = 0.7
 THRESHOLD = 0.3
+#: Ways to lack letters that are tried for a bound; a landmark with more has none.
+MOST_WAYS = 20_000
 
 # Signs read as letters within a word.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -86,6 +92,72 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay:
     return (same * prefix[:-1, :-1]).sum((0, 1)).astype(np.float64)
 
 
+@lru_cache(4096)
+def least_shared(mark: str, order: int = ORDER, decay: float = DECAY, floor: float = FLOOR) -> int:
+    """How many of a landmark's letters a window must have for a likeness above the floor.
+
+    By the Cauchy-Schwarz inequality a window's normalised kernel is at most the norm of the landmark's features that the
+    window can have, as a share of all. Those are the subsequences whose letters it has; the bound is the largest over
+    all ways to lack so many letters, with both end marks there.
+    """
+    found: Counter = Counter()
+    for at in combinations(range(len(mark)), order):
+        found["".join(mark[i] for i in at)] += decay ** (at[-1] - at[0] + 1)
+    inner = mark.strip("^$")
+    letters = sorted(set(inner))
+    held = np.array([[u.count(c) for c in letters] for u in found])
+    norm = np.array(list(found.values())) ** 2
+    for lack in range(1, len(inner)):
+        if math.comb(len(inner), lack) > MOST_WAYS:
+            break
+        ways = {tuple(inner.count(c) - x.count(c) for c in letters) for x in combinations(inner, lack)}
+        if max(norm[(held <= np.array(w)).all(1)].sum() for w in ways) <= floor * floor * norm.sum():
+            return len(inner) - lack + 1
+    return 1
+
+
+def kernel(pieces: list[str], landmarks: list[str], width: int) -> np.ndarray:
+    """The likeness of strings (of `width` letters at most) and landmarks, a row for each string.
+
+    Of a string's windows with room for a letter in every gap of the landmark, the one that fits best counts. Letters
+    that the landmark hasn't are taken out of it (their places stay). The normalised kernel from FLOOR to 1 is stretched
+    to 0 to 1; what has too few of the landmark's letters to come above FLOOR (`least_shared`) is 0 without a look.
+    """
+    codes = _codes(pieces, width)
+    length = (codes > 0).sum(1)
+    upto = {}
+    for c in sorted({c for x in landmarks for c in x}):
+        upto[c] = np.zeros((len(codes), width + 1), np.int8)
+        np.cumsum(codes == ord(c), axis=1, dtype=np.int8, out=upto[c][:, 1:])
+    out = np.zeros((len(pieces), len(landmarks)))
+    for j, mark in enumerate(landmarks):
+        need = Counter(mark.strip("^$"))
+        least = least_shared(mark)
+        rows = np.flatnonzero(sum(np.minimum(upto[c][:, -1], n) for c, n in need.items()) >= least)
+        window = len(mark) + max(SLACK, sum(need.values()) - 1)
+        goal = _codes([mark], len(mark))[0]
+        own = subsequence_kernel(goal[None], goal)[0]
+        held = {c: upto[c][rows] for c in need}
+        best = np.zeros(len(rows))
+        lives, windows = [], []
+        for lo in range(width - 2):
+            hi = min(lo + window, width)
+            live = (lo == 0) | (length[rows] > lo + window - 1)
+            live = np.flatnonzero(live & (sum(np.minimum(held[c][:, hi] - held[c][:, lo], n) for c, n in need.items()) >= least))
+            if len(live):
+                lives.append(live)
+                windows.append(np.pad(codes[rows[live], lo:hi], ((0, 0), (0, window - (hi - lo)))))
+        if not lives:
+            continue
+        live, s = np.concatenate(lives), np.concatenate(windows)
+        s = np.where(np.isin(s, goal), s, 0)
+        k = subsequence_kernel(s, goal)
+        may = np.flatnonzero(k > 0)
+        np.maximum.at(best, live[may], k[may] / np.sqrt(subsequence_kernel(s[may], s[may]) * own))
+        out[rows, j] = np.maximum(best - FLOOR, 0) / (1 - FLOOR)
+    return out
+
+
 @dataclass
 class Model:
     landmarks: list[str]
@@ -111,43 +183,12 @@ class Model:
             for lo in range(0, max(1, len(t) - piece // 2), piece // 2):
                 pieces.append(t[lo : lo + piece])
                 owner.append(k)
-        codes, owner = _codes(pieces, piece), np.array(owner, np.int64)
-        letters = sorted({c for x in self.landmarks for c in x})
-        length = (codes > 0).sum(1)
-        upto = {}
-        for c in letters:
-            upto[c] = np.zeros((len(codes), piece + 1), np.int8)
-            np.cumsum(codes == ord(c), axis=1, dtype=np.int8, out=upto[c][:, 1:])
-        out: dict[int, np.ndarray] = {}
-        for j, mark in enumerate(self.landmarks):
-            need = Counter(mark.strip("^$"))
-            least = math.ceil(GATE * sum(need.values()))
-            rows = np.flatnonzero(sum(np.minimum(upto[c][:, -1], n) for c, n in need.items()) >= least)
-            width = len(mark) + max(SLACK, sum(need.values()) - 1)
-            goal = _codes([mark], len(mark))[0]
-            own = subsequence_kernel(goal[None], goal)[0]
-            held = {c: upto[c][rows] for c in need}
-            best = np.zeros(len(rows))
-            lives, windows = [], []
-            for lo in range(piece - 2):
-                hi = min(lo + width, piece)
-                live = (lo == 0) | (length[rows] > lo + width - 1)
-                live = np.flatnonzero(live & (sum(np.minimum(held[c][:, hi] - held[c][:, lo], n) for c, n in need.items()) >= least))
-                if len(live):
-                    lives.append(live)
-                    windows.append(np.pad(codes[rows[live], lo:hi], ((0, 0), (0, width - (hi - lo)))))
-            if not lives:
-                continue
-            live, s = np.concatenate(lives), np.concatenate(windows)
-            # Other letters than the landmark's only make gaps.
-            s = np.where(np.isin(s, goal), s, 0)
-            k = subsequence_kernel(s, goal)
-            may = np.flatnonzero(k > 0)
-            np.maximum.at(best, live[may], k[may] / np.sqrt(subsequence_kernel(s[may], s[may]) * own))
-            for r, k in zip(rows[best > FLOOR].tolist(), best[best > FLOOR].tolist(), strict=True):
-                v = out.setdefault(int(owner[r]), np.zeros(len(self.landmarks)))
-                v[j] = max(v[j], (k - FLOOR) / (1 - FLOOR))
-        return {terms[k]: v for k, v in out.items()}
+        k = kernel(pieces, self.landmarks, piece)
+        out: dict[str, np.ndarray] = {}
+        for r in np.flatnonzero(k.any(1)).tolist():
+            t = terms[owner[r]]
+            out[t] = np.maximum(out[t], k[r]) if t in out else k[r]
+        return out
 
     def instances(self, text: str, known: dict[str, np.ndarray]) -> np.ndarray:
         """Features of the sentences that have any (known: features by token)."""
@@ -266,10 +307,8 @@ def train(texts: list[str], toxic: list[int], rounds: int = 4) -> Model:
     model = Model(marks, np.eye(m), np.zeros(m), -1.0, 1.0, -3.0)
     if not marks:
         return model
-    codes = _codes(marks, WIDTH)
-    gram = np.stack([subsequence_kernel(codes, c[: len(k)]) for c, k in zip(codes, marks, strict=True)])
-    gram /= np.sqrt(np.outer(np.diag(gram), np.diag(gram)))
-    values, vectors = np.linalg.eigh(gram)
+    gram = kernel(marks, marks, WIDTH)
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)  # best windows make it asymmetric by a little
     model.whiten = vectors / np.sqrt(np.maximum(values, 0.05)) @ vectors.T
     bags = []
     for lo in range(0, len(texts), 1000):
@@ -307,15 +346,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
-    """Train on labelled documents that aren't held out: most_toxic and most_clean at most, the first by a hash of the id. Contradictory labels of an id count as toxic."""
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> Model:
+    """Train on labelled documents that aren't held out: the ids of most_toxic and most_clean at most, the first by a hash of the id, and most_bytes of their texts. Contradictory labels of an id count as toxic."""
     graded = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     order = F.xxhash64("doc_id")
     some = graded.where("_toxic = 1").orderBy(order, "doc_id").limit(most_toxic).unionByName(graded.where("_toxic = 0").orderBy(order, "doc_id").limit(most_clean))
-    texts = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t")).where("_t is not null")
-    rows = texts.join(F.broadcast(some), F.col("_d") == F.col("doc_id")).select("_d", "_t", "_toxic").collect()
-    rows.sort(key=lambda r: (r["_d"], r["_t"]))
-    return train([r["_t"] for r in rows], [r["_toxic"] for r in rows])
+    rows = bounded_sample(docs, some, most_bytes)
+    return train([r["t"] for r in rows], [r["_toxic"] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
