@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from versefold.llm import decontamination as dc
-from versefold.llm import line_dedup as ld
 from versefold.llm import mixing as mx
 from versefold.llm import common, registry
+from versefold.llm import toxicity as tx
 from versefold.llm.common import shared_table, table
 
+from .test_dedup import brute_lines, brute_links
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -104,6 +106,23 @@ def goals(sizes, weights=(3, 1, 2), share=1.5, repeats=2):
     return target
 
 
+def brute_mix(rows):
+    """(doc_id, source, size, words taken) of rows (doc_id, source, text, k): whole epochs, then those of the least keys until the words are used up."""
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + len(re.findall(r"[^ \t-\r]+", r.text or ""))
+    out = []
+    for s, target in goals(sizes).items():
+        epochs = int(target // sizes[s]) if sizes[s] else 0
+        left = round(target) - epochs * sizes[s]
+        own = [(r.k, r.doc_id is not None, r.doc_id or 0, len(re.findall(r"[^ \t-\r]+", r.text or ""))) for r in rows if r.source == s]
+        for _, known, i, n in sorted(own):
+            part = max(0, min(n, left))
+            left -= part
+            out.append(repr((i if known and i else -1, s, n, epochs * n + part)))
+    return sorted(out)
+
+
 @pytest.fixture(scope="module")
 def sources():
     rng = random.Random(4)
@@ -135,15 +154,7 @@ def test_mix(spark, sources):
     assert sorted(rows, key=key) == sorted(again, key=key)
     # Which documents the last, partial epoch takes: those of the least keys until the words are used up.
     graded = df.join(labels.groupBy("doc_id").agg(F.max("quality").alias("q")), "doc_id", "left").select("doc_id", "source", "text", mx.sampling_key(F.col("doc_id"), mx.sampling_weight(F.col("q"))).alias("k")).collect()
-    want = []
-    for s in sizes:
-        left = round(target[s]) - int(target[s] // sizes[s]) * sizes[s] if sizes[s] else 0
-        for r in sorted((r for r in graded if r.source == s), key=lambda r: (r.k, r.doc_id is not None, r.doc_id or 0, len((r.text or "").split()))):
-            n = len((r.text or "").split())
-            part = max(0, min(n, left))
-            want.append((r.doc_id or -1, s, n, (int(target[s] // sizes[s]) if sizes[s] else 0) * n + part))
-            left -= part
-    assert sorted(map(repr, want)) == sorted(repr((r.doc_id or -1, r.source, r.size, r.taken)) for r in rows)
+    assert brute_mix(graded) == sorted(repr((r.doc_id or -1, r.source, r.size, r.taken)) for r in rows)
     # Each document has whole epochs before any has a part of another.
     for s in sizes:
         own = [r for r in rows if r.source == s and r.size]
@@ -161,39 +172,69 @@ def test_better_documents_are_likelier(spark):
     assert share(True) > 1.3 * share(False)
 
 
-def test_pipeline_stages(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    columns = docs.columns
-    passage = " ".join(table(spark, sf_dir, "benchmark").where(F.length("text") > 150).first().text.split())
-    extra = [(900_001, f"An own text of many words with {passage} inside of it", "en", "src0", 1), (900_002, None, "en", None, 0), (900_003, "", None, "src1", 0)]
-    docs = shared_table(docs.unionByName(spark.createDataFrame(extra, docs.schema)))
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["toxicity", "line_dedup", "jaccard_join", "decontamination", "mixing"]
-    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
-    kept = docs
+@pytest.fixture(scope="module")
+def chain(spark, sf_dir):
+    """What each stage gets and what it makes, over all documents."""
+    docs, out = table(spark, sf_dir, "documents"), []
     for name, stage in corpus_pipeline.STAGES:
-        out = shared_table(stage(spark, kept, sf_dir))
-        if name != "mixing":
-            assert out.columns == columns
-            assert ids(out) <= ids(kept)
+        made = shared_table(stage(spark, docs, sf_dir))
+        out.append((name, docs.collect(), made.collect()))
+        docs = made
+    return out
+
+
+def test_stages(spark, sf_dir, chain):
+    """Each stage's whole output against plain code over all that it got."""
+    assert [n for n, _, _ in chain] == ["toxicity", "line_dedup", "jaccard_join", "decontamination", "mixing"]
+    full = lambda rows: sorted(map(repr, rows))
+    for name, got, made in chain:
+        if name == "toxicity":
+            docs = table(spark, sf_dir, "documents")
+            scores = tx.fit(docs, table(spark, sf_dir, "labels")).scores([r.text for r in got])
+            assert full(made) == full([r for r, x in zip(got, scores, strict=True) if x < 0.3])
+            assert len(made) < len(got)
         if name == "line_dedup":
-            assert ids(out) == ids(kept)
-            assert out.where("n_chars <> length(text)").count() == 0
-            again = ld.drop_repeated_lines(kept)
-            assert sorted((r.doc_id, r.text or "") for r in out.collect()) == sorted((r.doc_id, r.text or "") for r in again.collect())
+            lines = brute_lines([(r.doc_id, r.text) for r in got])
+            assert sorted((r.doc_id, r.text) for r in made) == [(i, t) for i, _, _, t in lines]
+            assert all(r.n_chars == len(r.text) for r in made)
+        if name == "jaccard_join":
+            links = brute_links([(r.doc_id, r.text) for r in got])
+            assert full(made) == full([r for r in got if links[r.doc_id][0] == r.doc_id])
+            assert len(made) < len(got)
         if name == "decontamination":
-            gone = ids(kept) - ids(out)
-            assert 900_001 in gone
-            texts = [(r.doc_id, r.text) for r in kept.collect()]
-            items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
-            assert gone == {h[0] for h in brute_hits(texts[:60] + [t for t in texts if t[0] == 900_001], items) if h[4]} | (gone - {t[0] for t in texts[:60]} - {900_001})
-        kept = out
-    assert {900_002, 900_003} <= ids(kept)
-    assert set(kept.columns) >= {"doc_id", "size", "source_size", "target", "taken"}
-
-
-def test_run(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).count() > 100
+            windows = {n: set() for n in range(1, 11)}
+            for r in table(spark, sf_dir, "benchmark").collect():
+                w = words(r.text)
+                n = min(10, len(w))
+                for p in range(len(w) - n + 1 if n else 0):
+                    windows[n].add(tuple(w[p : p + n]))
+            clean = lambda w: not any(tuple(w[p : p + n]) in x for n, x in windows.items() if x for p in range(len(w) - n + 1))
+            assert full(made) == full([r for r in got if clean(words(r.text))])
+            assert len(made) < len(got)
+        if name == "mixing":
+            labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+            rows = spark.createDataFrame([(r.doc_id, r.source, r.text) for r in got], "doc_id long, source string, text string").join(labels, "doc_id", "left")
+            keyed = rows.select("doc_id", "source", "text", mx.sampling_key(F.col("doc_id"), mx.sampling_weight(F.col("q"))).alias("k")).collect()
+            assert brute_mix(keyed) == sorted(repr((r.doc_id or -1, r.source, r.size, r.taken)) for r in made)
+
+
+def test_run(spark, sf_dir, chain):
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(key, chain[-1][2]))
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty texts, repeated rows, clashing columns and no rows at all."""
+    schema = table(spark, sf_dir, "documents").schema
+    passage = table(spark, sf_dir, "benchmark").where(F.length("text") > 150).first().text
+    odd = [(1, "some words of one text, and of no other one", "en", "a", 9), (2, None, "en", None, None), (3, "", None, "b", 0), (4, f"more {passage} and more", "en", "b", 5), (5, "twice " * 30, "de", "a", 1), (5, "twice " * 30, "de", "a", 1)]
+    docs = spark.createDataFrame(odd, schema).withColumns({"score": F.lit("s"), "n_lines": F.lit("l"), "class_id": F.lit("c"), "contaminated": F.lit("x"), "size": F.lit("z"), "comp": F.lit(1), "key": F.lit(2)})
+    want = {"toxicity": [1, 2, 3, 4, 5, 5], "line_dedup": [1, 2, 3, 4, 5, 5], "jaccard_join": [1, 2, 3, 4, 5], "decontamination": [1, 2, 3, 5, 5], "mixing": [1, 2, 3, 4, 5, 5]}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf_dir)
+        assert name == "mixing" or got.columns == docs.columns
+        assert sorted(r.doc_id for r in got.collect()) == want[name], name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
 def test_words_that_a_polynomial_hash_confuses(spark):

@@ -24,9 +24,6 @@ from .common import long_field, map_batches, shared_checkpoint, string_field, ta
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCUMENTS = 40, 5
 
-_KEYS = T.StructType([long_field("__vf_doc"), long_field("_a"), long_field("_b")])
-
-
 def _key(line: bytes, min_chars: int) -> bytes | None:
     """The hash of a line's key, or None for a short one."""
     key = line.strip(BLANKS).lower()
@@ -36,21 +33,22 @@ def _key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> DataFrame:
-    """A row for each distinct long line key of each row."""
+    """A row (__vf_doc, _a, _b) for each distinct long line key of each row that has an id."""
+    schema = T.StructType([T.StructField("__vf_doc", docs.schema[doc_id].dataType), long_field("_a"), long_field("_b")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if i is not None and (b := t.as_buffer()) is not None:
+            rows, keys = [], []
+            for i, t in enumerate(batch.column(1)):
+                if (b := t.as_buffer()) is not None:
                     found = {k for x in b.to_pybytes().split(b"\n") if len(x) >= min_chars and (k := _key(x, min_chars))}
-                    ids.append(np.full(len(found), i, np.int64))
+                    rows.append(np.full(len(found), i, np.int64))
                     keys += found
             if keys:
                 ab = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=_KEYS.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=schema.names)
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(run, _KEYS)
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id), F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
 def drop_repeated_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,7 +57,8 @@ def drop_repeated_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docu
     A line's key is the line without blanks at both ends, A-Z lower-cased. Keys of min_chars code points or more in
     min_documents documents or more lose all their lines but those of the largest doc_id. A null or empty text is one
     empty line and stays as it is. Rows of one doc_id count as one document. Rows without a doc_id are in no count and
-    keep their lines. Columns named n_lines and n_dropped are replaced; all others pass through.
+    keep their lines. A doc_id may be of any type that has an order; whole texts count, however long. Columns named n_lines
+    and n_dropped are replaced; all others pass through.
     """
     keys = line_keys(docs, min_chars, doc_id, text)
     common = keys.groupBy("_a", "_b").agg(F.count_distinct("__vf_doc").alias("_n"), F.max("__vf_doc").alias("_last")).where(F.col("_n") >= min_documents)
