@@ -178,7 +178,9 @@ def test_random_strings_of_all_alphabets(spark, alphabet):
     rows = [f"it is {w} and {w.title()} here" for w in words] + [f"take {k} now" for k in keys]
     got = [r.spans for r in sorted(secrets.find_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), ["doc_id"]).collect())]
     assert not any(got[: len(words)])
-    assert sum(s == "random:5:69" for s in got[len(words) :]) >= 0.8 * len(keys)
+    # Digits alone are a base span of the kind hex, whatever the tests of randomness say.
+    want = "hex:5:69" if alphabet.isdigit() else "random:5:69"
+    assert sum(s == want for s in got[len(words) :]) >= (1.0 if alphabet.isdigit() else 0.8) * len(keys)
 
 
 def test_every_token_has_an_alphabet(spark):
