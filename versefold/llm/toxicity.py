@@ -116,6 +116,15 @@ def least_shared(mark: str, order: int = ORDER, decay: float = DECAY, floor: flo
     return 1
 
 
+def _named(s: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """A value for each row of s, whose entries are 0 or such letters: equal for equal rows only."""
+    known = np.unique(letters)
+    digits = np.where(s > 0, np.searchsorted(known, s) + 1, 0)
+    if s.shape[1] * math.log2(len(known) + 1) < 63:
+        return digits @ (len(known) + 1) ** np.arange(s.shape[1])
+    return np.ascontiguousarray(digits.astype(np.uint8)).view(f"V{s.shape[1]}")[:, 0]
+
+
 def kernel(pieces: list[str], landmarks: list[str], width: int) -> np.ndarray:
     """The likeness of strings (of `width` letters at most) and landmarks, a row for each string.
 
@@ -151,9 +160,15 @@ def kernel(pieces: list[str], landmarks: list[str], width: int) -> np.ndarray:
             continue
         live, s = np.concatenate(lives), np.concatenate(windows)
         s = np.where(np.isin(s, goal), s, 0)
+        # The kernel doesn't change when a window moves, so many windows are one.
+        at = (s > 0).argmax(1)[:, None] + np.arange(window)
+        s = np.where(at < window, np.take_along_axis(s, np.minimum(at, window - 1), 1), 0)
+        _, pick, of = np.unique(_named(s, goal), return_index=True, return_inverse=True)
+        s = s[pick]
         k = subsequence_kernel(s, goal)
         may = np.flatnonzero(k > 0)
-        np.maximum.at(best, live[may], k[may] / np.sqrt(subsequence_kernel(s[may], s[may]) * own))
+        k[may] /= np.sqrt(subsequence_kernel(s[may], s[may]) * own)
+        np.maximum.at(best, live, k[of])
         out[rows, j] = np.maximum(best - FLOOR, 0) / (1 - FLOOR)
     return out
 
