@@ -250,3 +250,20 @@ def test_near_join_ids(spark):
 def test_runs_meet_the_target():
     assert jj.runs(0.8, 0.999) == 6
     assert jj.runs(0.8, 0.99999) > jj.runs(0.8, 0.999)
+
+
+def test_links_between_families_of_two_pivots(spark):
+    """Sets that link two families are compared, though each is near to a pivot of its own and the pivots are far apart."""
+    key, rng = 1, np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
+    sets = [np.sort(pool[100 * k : 100 * k + 1000]) for k in range(10)]
+    ids = spark.range(400).selectExpr("id", f"pmod(xxhash64({key}L, id), 5) = 0 AS first").collect()
+    first, other = ([r.id for r in ids if r.first == x] for x in (True, False))
+    named = [first[0], *other[:8], first[1]]
+    tokens, offsets = np.concatenate(sets), np.arange(11) * 1000
+    sketch = jj.sketches(tokens, offsets)
+    rows = spark.createDataFrame([(key, 10, i, 1000, s.tobytes()) for i, s in zip(named, sketch, strict=True)], "key long, m long, id long, n int, sketch binary")
+    near = jj.near(sketch, sketch, np.full(10, 1000), np.full(10, 1000), 0.8)
+    assert near[4, 5] and not near[0, 9] and not near[0, 5] and not near[4, 9]
+    got = {r.node: r.comp for r in jj.components(jj._large_buckets(rows, 0.8, 4, 2)).collect()}
+    assert {got.get(i) for i in named} == {min(named)}

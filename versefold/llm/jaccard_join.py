@@ -7,8 +7,8 @@ Runs repeat until the target recall (`runs`). Equal sets are one node from the s
 bucket twice. All levels and runs choose from one pool of sampled tokens that each set carries.
 
 A bucket that splitting doesn't make smaller holds either a family of near copies or sets that share one passage. It is
-dealt out in blocks: all sets are compared with some pivots, and those that are near to none of them with all others
-(a family costs its length, not its square). Nothing is dropped for its size: bucket sizes are counted over all sets
+dealt out in blocks: all sets are compared with some pivots, and those that this doesn't connect with the bucket's main
+family with all others (a family costs its length, not its square; what one chain connects needs no further look). Nothing is dropped for its size: bucket sizes are counted over all sets
 before rows are shuffled, so no task gathers a large bucket.
 
 Within buckets, one-bit sketches (one permutation, 256 bins) drop pairs that are far from the threshold, and what is
@@ -292,7 +292,11 @@ class Forest:
 
 
 def _against(rows: DataFrame, keys: list[str], threshold: float, tell: bool, tile: int = 1024) -> DataFrame:
-    """Rows (key, ..., pivot, id, n, sketch) by keys: edges that connect pivots with near ones of the others, tile by tile; with tell, (key, id, null) for those that are near to no pivot."""
+    """Rows (key, ..., pivot, id, n, sketch) by keys: edges that connect pivots with near ones of the others, tile by tile.
+
+    With tell, the pivots are the same in all blocks of a bucket, and (key, id, null) is told for those of the others,
+    but for pivots, that the edges don't connect with the main family: the most pivots that are connected among themselves.
+    """
 
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, ids, size, pivot, sketch = (*(rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "n", "pivot")), _sketched(rows))
@@ -302,21 +306,29 @@ def _against(rows: DataFrame, keys: list[str], threshold: float, tell: bool, til
             order = lo + np.argsort(ids[lo:hi], kind="stable")
             own = pivot[order].astype(bool)
             a, b = np.flatnonzero(own), np.flatnonzero(~own)
-            forest, met = Forest(hi - lo), np.zeros(hi - lo, bool)
-            for x in range(0, len(a), tile):
-                for y in range(0, len(b), tile):
-                    p, q = a[x : x + tile], b[y : y + tile]
-                    linked = near(sketch[order[p]], sketch[order[q]], size[order[p]], size[order[q]], threshold)
-                    met[q] |= linked.any(0)
-                    both = np.r_[p, q]
-                    label = spread_labels(linked, np.arange(len(p)), len(p) + np.arange(len(q)), len(both))
-                    child = np.flatnonzero(label != np.arange(len(both)))
-                    forest.join(zip(both[label[child]].tolist(), both[child].tolist(), strict=True))
+            forest = Forest(hi - lo)
+
+            def join(a: np.ndarray, b: np.ndarray) -> None:
+                for x in range(0, len(a), tile):
+                    for y in range(0, len(b), tile):
+                        p, q = a[x : x + tile], b[y : y + tile]
+                        linked = near(sketch[order[p]], sketch[order[q]], size[order[p]], size[order[q]], threshold)
+                        both = np.r_[p, q]
+                        label = spread_labels(linked, np.arange(len(p)), len(p) + np.arange(len(q)), len(both))
+                        child = np.flatnonzero(label != np.arange(len(both)))
+                        forest.join(zip(both[label[child]].tolist(), both[child].tolist(), strict=True))
+
+            rest, main = b[~np.isin(ids[order[b]], ids[order[a]])] if tell else b[:0], None
+            if len(rest) and len(a):
+                # By pivots alone, so that all blocks name one family.
+                join(a, a)
+                main = int(np.bincount([forest.root(x) for x in a.tolist()]).argmax())
+            join(a, b)
             root = np.array([forest.root(x) for x in range(hi - lo)])
             child = np.flatnonzero(root != np.arange(hi - lo))
             u, v = ids[order[root[child]]], ids[order[child]]
             u, v = u[u != v].tolist(), v[u != v].tolist()
-            alone = ids[order[b[~met[b]]]].tolist() if tell else []
+            alone = ids[order[rest if main is None else rest[root[rest] != root[main]]]].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u) + len(alone), key[lo])), pa.array(u + alone, pa.int64()), pa.array(v + [None] * len(alone), pa.int64())], names=_TIED.names)
 
     return _grouped(rows, keys, work, _TIED)
@@ -325,8 +337,9 @@ def _against(rows: DataFrame, keys: list[str], threshold: float, tell: bool, til
 def _large_buckets(rows: DataFrame, threshold: float, side: int, pivots: int) -> DataFrame:
     """Edges (u, v) that connect the candidate pairs of buckets that aren't split: rows (key, m, id, n, sketch), m in a bucket.
 
-    A bucket is dealt in blocks of about `side`. Each meets the pivots, some `pivots` of the bucket's sets; what is near
-    to no pivot meets all blocks.
+    A bucket is dealt in blocks of about `side`. Each meets the pivots, some `pivots` of the bucket's sets. What this
+    connects with the bucket's main family is one component, and so are pairs of it; any other pair has a pivot, which
+    has met all sets, or a set that isn't connected with that family, which then meets all blocks.
     """
     blocks = F.ceil(F.col("m") / side).cast("int")
     first = F.pmod(F.xxhash64("key", "id"), F.ceil(F.col("m") / pivots)) == 0
