@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from versefold.llm import quality as ql
 from versefold.llm import toxicity as tx
@@ -286,3 +287,31 @@ def test_labelled_documents(spark, sf_dir):
     better = np.mean([[a < b for b in good] for a in poor])
     assert better > 0.9
     assert np.mean([r.keep for r in got if r.quality == 1]) > 0.97
+
+
+def test_training_runs_in_a_task(spark, monkeypatch):
+    import os
+
+    ids = [r.id for r in spark.range(20).where(~tx.held_out(F.col("id"))).limit(2).collect()]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 0), (ids[1], 1)], "doc_id long, toxic int")
+    monkeypatch.setattr(tx, "train", lambda texts, toxic: tx.Model([os.getpid(), texts, toxic], None, None, 0.0, 1.0, 0.0))
+    pid, texts, toxic = tx.fit(docs.orderBy(F.desc("doc_id")), labels).landmarks
+    assert pid != os.getpid()
+    assert texts == [f"text {i}" for i in sorted(ids)] and toxic == [0, 1]
+
+
+def test_spaced_letters_are_looked_for_once(model, monkeypatch):
+    """Not again in each sentence, of which none holds what its text hasn't."""
+    texts = [f"We met {INSULTS[0]} there. " * 40, "A clean one. Nothing in it!", "So g.l.o.o.p.f.i.n.k came. s n a r v i k too.\nEnd a b c. d e f"]
+    assert all(sorted(x for s in tx._SENTENCE.split(t) for x in tx.spaced(s)) == sorted(tx.spaced(t)) for t in texts)
+    want = model.scores(texts)
+    calls, found = [], tx._SPACED
+
+    class Counting:
+        def findall(self, text):
+            calls.append(text)
+            return found.findall(text)
+
+    monkeypatch.setattr(tx, "_SPACED", Counting())
+    assert model.scores(texts[:2]).tolist() == want[:2].tolist() and len(calls) == 2

@@ -246,8 +246,8 @@ def named_again(docs: DataFrame, made: DataFrame, pairs: DataFrame | None, doc_i
     return left.join(named, F.col("__vf_of").eqNullSafe(F.col("__vf_doc")) & (F.col("__vf_o") == F.col("__vf_t"))).drop("__vf_of", "__vf_o", "__vf_doc", "__vf_t")
 
 
-def bounded_sample(docs: DataFrame, chosen: DataFrame, most_bytes: int, doc_id: str = "doc_id", text: str = "text") -> list:
-    """Rows (d, t, *chosen but doc_id) of the documents that `chosen` (a table of bounded length) names, most_bytes of text at most.
+def bounded_rows(docs: DataFrame, chosen: DataFrame, most_bytes: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Distinct rows (d, t, *chosen but doc_id) of the documents that `chosen` (a table of bounded length) names, most_bytes of text at most.
 
     Texts are taken in order of a hash of id and text until the bytes are used up; a row that repeats one is left out.
     A text that alone has a sixteenth of the bytes isn't taken. So neither an id that many rows share nor long texts let
@@ -267,4 +267,9 @@ def bounded_sample(docs: DataFrame, chosen: DataFrame, most_bytes: int, doc_id:
             break
     if till is not None:
         rows = rows.where(key < till)
-    return sorted(rows.distinct().select("d", "t", *extra).collect(), key=lambda r: (r["d"], r["t"]))
+    return rows.distinct().select("d", "t", *extra)
+
+
+def bounded_sample(docs: DataFrame, chosen: DataFrame, most_bytes: int, doc_id: str = "doc_id", text: str = "text") -> list:
+    """bounded_rows in order of id and text, in the driver."""
+    return sorted(bounded_rows(docs, chosen, most_bytes, doc_id, text).collect(), key=lambda r: (r["d"], r["t"]))

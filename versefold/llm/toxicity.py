@@ -14,8 +14,10 @@ A document's score is its highest sentence's, through a logistic curve fitted to
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, map_batches, table
+from .common import bounded_rows, map_batches, table
 
 #: The training sample: so many labelled documents of each class at most, the first by a hash of the id.
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
@@ -46,6 +48,7 @@ MOST_WAYS = 20_000
 
 # Signs read as letters within a word.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+_READ = str.maketrans(LOOKALIKES)
 
 _EDGE = re.compile(r"^[^\w@$]+|[^\w]+$")
 _SIGNS = re.compile(r"[^\w]|_")
@@ -57,15 +60,23 @@ def term(token: str) -> str:
     """A lower-cased token as a term, without its end marks."""
     if token.isalpha():
         return token
+    # The usual case: a word and one sign at its end.
+    if token[-1:] in ".,;:!?" and token[:-1].isalpha():
+        return token[:-1]
     token = _EDGE.sub("", token)
     if any(c.isalpha() for c in token):
-        token = "".join(LOOKALIKES.get(c, c) for c in token)
+        token = token.translate(_READ)
     return _SIGNS.sub("", token)
 
 
+def spaced(text: str) -> list[str]:
+    """Runs of spaced letters of a lower-cased text, each as one token. None crosses a sentence's end."""
+    return ["".join(c for c in m if c.isalnum()) for m in _SPACED.findall(text)]
+
+
 def tokens(text: str) -> set[str]:
     """Distinct tokens of a lower-cased text: what blanks delimit, and spaced letters as one."""
-    return {*text.split(), *("".join(c for c in m if c.isalnum()) for m in _SPACED.findall(text))}
+    return {*text.split(), *spaced(text)}
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -134,15 +145,20 @@ def kernel(pieces: list[str], landmarks: list[str], width: int) -> np.ndarray:
     """
     codes = _codes(pieces, width)
     length = (codes > 0).sum(1)
+    total = {c: (codes == ord(c)).sum(1, dtype=np.int8) for c in sorted({c for x in landmarks for c in x})}
+    needs = [Counter(x.strip("^$")) for x in landmarks]
+    enough = [sum(np.minimum(total[c], n) for c, n in need.items()) >= least_shared(x) for x, need in zip(landmarks, needs, strict=True)]
+    # What has too few letters of every landmark is done with.
+    some = np.flatnonzero(np.logical_or.reduce(enough)) if landmarks else np.zeros(0, np.int64)
+    full, codes, length = np.zeros((len(pieces), len(landmarks))), codes[some], length[some]
+    out = np.zeros((len(some), len(landmarks)))
     upto = {}
-    for c in sorted({c for x in landmarks for c in x}):
+    for c in total:
         upto[c] = np.zeros((len(codes), width + 1), np.int8)
         np.cumsum(codes == ord(c), axis=1, dtype=np.int8, out=upto[c][:, 1:])
-    out = np.zeros((len(pieces), len(landmarks)))
-    for j, mark in enumerate(landmarks):
-        need = Counter(mark.strip("^$"))
+    for j, (mark, need) in enumerate(zip(landmarks, needs, strict=True)):
         least = least_shared(mark)
-        rows = np.flatnonzero(sum(np.minimum(upto[c][:, -1], n) for c, n in need.items()) >= least)
+        rows = np.flatnonzero(enough[j][some])
         window = len(mark) + max(SLACK, sum(need.values()) - 1)
         goal = _codes([mark], len(mark))[0]
         own = subsequence_kernel(goal[None], goal)[0]
@@ -170,7 +186,8 @@ def kernel(pieces: list[str], landmarks: list[str], width: int) -> np.ndarray:
         k[may] /= np.sqrt(subsequence_kernel(s[may], s[may]) * own)
         np.maximum.at(best, live, k[of])
         out[rows, j] = np.maximum(best - FLOOR, 0) / (1 - FLOOR)
-    return out
+    full[some] = out
+    return full
 
 
 @dataclass
@@ -195,7 +212,11 @@ class Model:
         pieces, owner = [], []
         for k, t in enumerate(terms):
             t = f"^{t}$"
-            for lo in range(0, max(1, len(t) - piece // 2), piece // 2):
+            if len(t) <= piece:
+                pieces.append(t)
+                owner.append(k)
+                continue
+            for lo in range(0, len(t) - piece // 2, piece // 2):
                 pieces.append(t[lo : lo + piece])
                 owner.append(k)
         k = kernel(pieces, self.landmarks, piece)
@@ -205,20 +226,24 @@ class Model:
             out[t] = np.maximum(out[t], k[r]) if t in out else k[r]
         return out
 
-    def instances(self, text: str, known: dict[str, np.ndarray]) -> np.ndarray:
-        """Features of the sentences that have any (known: features by token)."""
-        if not any(x in known for x in tokens(text)):
+    def instances(self, text: str, known: dict[str, np.ndarray], runs: list[str] | None = None) -> np.ndarray:
+        """Features of the sentences that have any (known: features by token; runs: spaced(text), if it is there already)."""
+        runs = spaced(text) if runs is None else runs
+        has = known.keys()
+        if has.isdisjoint(text.split()) and has.isdisjoint(runs):
             return np.zeros((0, len(self.landmarks)))
         out = []
         for sentence in _SENTENCE.split(text):
-            hit = [known[x] for x in tokens(sentence) if x in known]
-            if hit:
-                out.append(np.max(hit, 0))
+            words = tokens(sentence) if runs else sentence.split()
+            if not has.isdisjoint(words):
+                out.append(np.max([known[x] for x in has & set(words)], 0))
         return np.array(out).reshape(-1, len(self.landmarks))
 
-    def known(self, texts: list[str]) -> dict[str, np.ndarray]:
+    def known(self, texts: list[str], runs: list[list[str]] | None = None) -> dict[str, np.ndarray]:
         """Features by token for all tokens of some lower-cased texts."""
-        raw = set().union(*(tokens(t) for t in texts)) if texts else set()
+        raw: set[str] = set()
+        for k, t in enumerate(texts):
+            raw.update(t.split(), spaced(t) if runs is None else runs[k])
         named = {x: term(x) for x in raw}
         found = self.features(sorted({t for t in named.values() if t}))
         return {x: found[t] for x, t in named.items() if t in found}
@@ -237,8 +262,9 @@ class Model:
         return np.concatenate(out)
 
     def _scores(self, low: list[str]) -> np.ndarray:
-        known = self.known(low)
-        top = np.array([max([self.bias, *self.margin(self.instances(t, known))]) for t in low])
+        runs = [spaced(t) for t in low]
+        known = self.known(low, runs)
+        top = np.array([max([self.bias, *self.margin(self.instances(t, known, r))]) for t, r in zip(low, runs, strict=True)])
         return 1 / (1 + np.exp(-np.clip(self.slope * top + self.shift, -40, 40)))
 
 
@@ -366,8 +392,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
     graded = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     order = F.xxhash64("doc_id")
     some = graded.where("_toxic = 1").orderBy(order, "doc_id").limit(most_toxic).unionByName(graded.where("_toxic = 0").orderBy(order, "doc_id").limit(most_clean))
-    rows = bounded_sample(docs, some, most_bytes)
-    return train([r["t"] for r in rows], [r["_toxic"] for r in rows])
+    rows = bounded_rows(docs, some, most_bytes).select("d", "t", "_toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The model of all rows, in order of id and text; in a task, so that the driver's memory has neither texts nor counts."""
+        own = sorted(x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(train([t for _, t, _ in own], [y for _, _, y in own])))], pa.binary())], names=["model"])
+
+    made = rows.coalesce(1).mapInArrow(run, T.StructType([T.StructField("model", T.BinaryType())])).first()
+    return Model(**pickle.loads(made["model"])) if made else train([], [])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
