@@ -1,6 +1,7 @@
 """PII and secret scans against plain Python over the contract's patterns, and what their methods add."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -210,3 +211,17 @@ def test_kept_columns_of_clashing_names(spark):
     for find in (pii.find_personal, secrets.find_secrets):
         (row,) = find(df, df.columns).collect()
         assert (row.doc_id, row.m, row.text) == (1, "m", "a@b.cd x") and row.spans != "s"
+
+
+def test_decoys_are_made_of_all_words(spark):
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice(LOWER) for _ in range(rng.randint(6, 12))) for _ in range(1500)})
+    rows = [(i, " ".join(words[i : i + 100])) for i in range(0, len(words), 100)]
+    got = [r.m for r in secrets.decoys(spark.createDataFrame(rows, "doc_id long, text string"), "text").collect()]
+    every = "\n".join(got)
+    assert [w for w in words if w not in every] == []
+    found = {min(max(int(2 * math.log2(len(m) / 16)), 0), secrets.CLASSES - 1) for m in got}
+    assert found == set(range(secrets.CLASSES)) and min(len(m) for m in got) >= 16
+    for few in ([(1, "abc")], [(1, None)], [(1, "1 2 3")]):
+        got = secrets.decoys(spark.createDataFrame(few, "doc_id long, text string"), "text").collect()
+        assert len(got) > secrets.CLASSES * secrets.DECOYS and set("".join(r.m for r in got)) == set("abc" if few[0][1] == "abc" else LOWER)

@@ -4,7 +4,7 @@ Base patterns find assignments, access keys and hexadecimal strings. Further can
 digits and +/_=-; each is tested in the smallest alphabet that covers it (digits, hexadecimal, letters or base 36 in one
 case, letters of both, base 64; signs only part groups, except in base 64) for what random draws from it show: uniform
 counts (chi-squared), runs about the alphabet's middle, and no serial correlation. The largest of the three deviations is
-its statistic. Words of the corpus run together take the same tests as decoys: they give each statistic its p-value for
+its statistic. All different words of the corpus, run together, take the same tests as decoys: they give each statistic its p-value for
 natural text within a length class (letters drawn one by one would not: words repeat letters less evenly and more
 regularly than chance has it, which passes for randomness). False discoveries are controlled by class
 (Storey's share of nulls, Benjamini-Hochberg over bins of the statistic, from counts over all texts). What passes, and
@@ -40,8 +40,8 @@ ALPHABETS = {
 }
 #: The false-discovery rate, the deviation beyond which a string isn't random, bins to a unit of it, and the number of bins and length classes.
 RATE, DEVIATION, PER_UNIT, BINS, CLASSES = 0.05, 3.5, 10, 100, 8
-#: Decoys of a length class; words that they are made of; letters and digits that a token needs to be tested.
-DECOYS, WORDS, BARE = 1000, 500, 8
+#: Decoys of the longest class at least; letters of a run that decoys are cut from; letters and digits that a token needs to be tested.
+DECOYS, RUN, BARE = 1000, 4096, 8
 
 
 def _valid() -> Column:
@@ -111,18 +111,31 @@ def tested(tokens: DataFrame) -> DataFrame:
 
 
 def decoys(docs: DataFrame, text: str) -> DataFrame:
-    """(m): strings of all length classes, of words from the corpus (WORDS different ones of 3 to 15 letters, the first by a hash, over all texts) run together."""
+    """(m): strings of all length classes, made of all different words of the corpus (3 to 15 letters) run together.
+
+    Each word is in decoys of each class. The words stand in order of a hash, in runs of about RUN letters, and each run
+    is cut up once for each class, to the last letter. A corpus of few words takes as many rounds, each in another order,
+    as give DECOYS decoys of the longest class.
+    """
     found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(r"(?<![a-z0-9+/_=-])[a-z]{3,15}+(?![a-z0-9+/_=-])"), F.lit(0))
-    some = docs.select(F.explode(F.array_distinct(found)).alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(WORDS)
-    words = shared_checkpoint(some.agg(F.sort_array(F.collect_list("w")).alias("_w")))
+    words = shared_checkpoint(docs.select(F.explode(F.array_distinct(found)).alias("w")).distinct())
+    size = words.agg(F.coalesce(F.sum(F.length("w")), F.lit(0)).alias("_t"))
     # Without any words, two halves of the alphabet.
-    words = words.select(F.when(F.size("_w") > 0, F.col("_w")).otherwise(F.array(F.lit("abcdefghijklm"), F.lit("nopqrstuvwxyz"))).alias("_w"))
-    drawn = docs.sparkSession.range(CLASSES * DECOYS).crossJoin(F.broadcast(words))
-    low = F.pow(F.lit(2.0), (F.col("id") % CLASSES) / 2.0) * 16
-    size = F.floor(low + F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0 * low * 0.4142).cast("int")
-    drawn = drawn.withColumn("_n", F.when(F.col("id") % CLASSES == 0, size).otherwise(size + 1))
-    pick = lambda i: F.element_at("_w", (F.pmod(F.xxhash64(F.col("id"), i), F.size("_w").cast("long")) + 1).cast("int"))
-    return drawn.select(F.left(F.array_join(F.transform(F.sequence(F.lit(1), (F.col("_n") / 3).cast("int") + 1), pick), ""), F.col("_n")).alias("m"))
+    halves = docs.sparkSession.range(2).select(F.when(F.col("id") == 0, "abcdefghijklm").otherwise("nopqrstuvwxyz").alias("w"))
+    words = words.unionByName(halves.crossJoin(F.broadcast(size.where("_t = 0"))).select("w"))
+    longest = 16 * 2 ** (CLASSES / 2)
+    words = words.crossJoin(F.broadcast(size.select(F.when(F.col("_t") == 0, 26).otherwise(F.col("_t")).alias("_t"))))
+    words = words.withColumn("_r", F.ceil(DECOYS * longest / F.col("_t")).cast("int"))
+    h = F.xxhash64("w", "_i")
+    words = words.withColumn("_i", F.explode(F.sequence(F.lit(1), "_r"))).withColumn("_b", F.pmod(h, F.ceil(F.col("_t") * F.col("_r") / RUN)))
+    run = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(h.alias("h"), "w"))), lambda x: x["w"]), "")
+    runs = words.groupBy("_b").agg(run.alias("_s")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1))))
+    low = F.pow(F.lit(2.0), F.col("_c") / 2.0) * 16
+    size = F.floor(low + F.pmod(F.xxhash64("_b", "_c"), F.lit(1000)) / 1000.0 * low * 0.4142).cast("int")
+    cut = runs.withColumn("_n", F.when(F.col("_c") == 0, size).otherwise(size + 1)).withColumn("_k", F.greatest(F.floor((F.length("_s") - 16) / F.col("_n")), F.lit(0)).cast("int"))
+    # What is left of a run is a decoy of its own, or, below 16 letters, part of the one before.
+    cut = cut.withColumn("_j", F.explode(F.sequence(F.lit(0), "_k")))
+    return cut.select(F.substr("_s", F.col("_j") * F.col("_n") + 1, F.when(F.col("_j") < F.col("_k"), F.col("_n")).otherwise(F.length("_s"))).alias("m"))
 
 
 def passing(counts: DataFrame) -> DataFrame:
