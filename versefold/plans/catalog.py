@@ -27,6 +27,7 @@ from ..schema import EVENT
 from ..sources.readers import reference_faults
 from ..sources.tables import table
 from . import twins as tw
+from .sums import running_sums
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -559,8 +560,10 @@ def attempts(spark, sf_dir):
 @query(tw.chain(tw.OUTCOMES) + """, a AS (SELECT user_id, event_id, seq, sum(latency_s) OVER (PARTITION BY user_id ORDER BY seq) % 7 + seq * 0.2 AS arrival_s FROM outcomes)
 SELECT event_id, round((seq - 1) * 0.3 + max(arrival_s - (seq - 1) * 0.3) OVER (PARTITION BY user_id ORDER BY seq), 6) AS start_s FROM a""")
 def courtesy_starts(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = outcomes(spark, sf_dir).withColumn("arrival_s", F.sum("latency_s").over(w) % 7 + F.col("seq") * 0.2)
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    sums = running_sums(events, "user_id", ["ts", "event_id"], "value", events.agg(F.count("*")))
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    rows = sums.withColumn("seq", seq).withColumn("arrival_s", F.col("sum") % 7 + F.col("seq") * 0.2)
     return ct.courtesy_starts(rows, ["user_id"], ["seq"]).select("event_id", F.round("start_s", 6).alias("start_s"))
 
 
